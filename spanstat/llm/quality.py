@@ -23,6 +23,8 @@ ROUNDS = 20
 #: compared as products of integers, so every engine gives the same votes.
 RULES = (
     ("symbols", "10 * n_symbols > word_chars", "100 * n_symbols <= word_chars"),
+    ("symbol_words", "10 * n_symbol_words > 3 * n_words", "100 * n_symbol_words <= 5 * n_words"),
+    ("letters", "100 * n_letters < 88 * word_chars", "100 * n_letters >= 92 * word_chars"),
     ("repeats", "100 * n_repeat_words > 20 * n_words", "100 * n_repeat_words <= 5 * n_words"),
     ("lines", "10 * n_dup_lines > 3 * n_lines", "n_dup_lines = 0"),
     ("capitals", "10 * n_capitals > 5 * word_chars", "10 * n_capitals <= 2 * word_chars"),
@@ -43,6 +45,8 @@ def features(docs: DataFrame) -> DataFrame:
         F.size("w").cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         F.expr("length(regexp_replace(t, r'[^#*$%&|<>]+', ''))").cast("long").alias("n_symbols"),
+        F.expr("size(filter(w, x -> x rlike '[#*$%&|<>]'))").cast("long").alias("n_symbol_words"),
+        F.expr(r"length(regexp_replace(t, r'[^\p{L}]+', ''))").cast("long").alias("n_letters"),
         F.expr(r"length(regexp_replace(t, r'[^\p{Lu}]+', ''))").cast("long").alias("n_capitals"),
         (F.length("t") - F.length(F.replace("t", F.lit("!"), F.lit("")))).cast("long").alias("n_exclaims"),
         F.size("l").cast("long").alias("n_lines"),
@@ -134,6 +138,8 @@ rep as (select r, count(distinct j) as n from (select r, unnest(range(i, i + {WI
 feat as materialized (
   select base.r, doc_id, cast(len(w) as bigint) as n_words, cast(length(array_to_string(w, '')) as bigint) as word_chars,
     cast(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) as bigint) as n_symbols,
+    cast(len(list_filter(w, lambda x: regexp_matches(x, '[#*$%&|<>]'))) as bigint) as n_symbol_words,
+    cast(length(regexp_replace(t, '[^\p{{L}}]+', '', 'g')) as bigint) as n_letters,
     cast(length(regexp_replace(t, '[^\p{{Lu}}]+', '', 'g')) as bigint) as n_capitals,
     cast(length(t) - length(replace(t, '!', '')) as bigint) as n_exclaims,
     cast(len(l) as bigint) as n_lines, cast(len(l) - len(list_distinct(l)) as bigint) as n_dup_lines,

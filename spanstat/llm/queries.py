@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanstat.llm import bpe, licenses, pack, quality, token_files
+from spanstat.llm import bpe, html_text, licenses, pack, quality, token_files
 from spanstat.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.pack(table(spark, sf_dir, "documents"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"))
 
@@ -31,7 +35,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op5_packing, op7_bpe, op8_quality, op10_licenses)}
+    return {f.__name__: f for f in (op1_token_counts, op5_packing, op6_html_text, op7_bpe, op8_quality, op10_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
