@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanstat.llm import bpe, html_text, licenses, pack, quality, token_files
+from spanstat.llm import bpe, html_text, licenses, pack, probminhash, quality, token_files, toxicity
 from spanstat.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.pack(table(spark, sf_dir, "documents"))
 
@@ -30,12 +34,16 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return probminhash.classes(table(spark, sf_dir, "documents")).drop("uid")
+
+
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op5_packing, op6_html_text, op7_bpe, op8_quality, op10_licenses)}
+    return {f.__name__: f for f in (op1_token_counts, op2_toxicity, op5_packing, op6_html_text, op7_bpe, op8_quality, op9_near_duplicates, op10_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
