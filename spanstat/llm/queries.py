@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanstat.llm import bpe, html_text, licenses, pack, probminhash, quality, token_files, toxicity
+from spanstat.llm import bpe, hnsw, html_text, licenses, pack, probminhash, quality, substrings, token_files, toxicity
 from spanstat.llm.common import table
 
 
@@ -18,6 +18,14 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.removed(table(spark, sf_dir, "documents")).drop("uid", "kept")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.pack(table(spark, sf_dir, "documents"))
 
@@ -43,7 +51,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_toxicity, op5_packing, op6_html_text, op7_bpe, op8_quality, op9_near_duplicates, op10_licenses)}
+    return {f.__name__: f for f in (op1_token_counts, op2_toxicity, op3_embeddings, op4_substrings, op5_packing, op6_html_text, op7_bpe, op8_quality, op9_near_duplicates, op10_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
