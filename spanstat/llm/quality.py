@@ -111,16 +111,16 @@ def quality(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def filter_quality(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that are kept.
+    """The rows of ``docs`` that are kept, with all their columns.
 
-    Each distinct (doc_id, text) has one verdict, so rows with the same id but
-    different texts are told apart.
+    The row itself goes along through the features, so no text is shuffled; only
+    the table of patterns, bounded by 3^rules rows, is broadcast.
     """
-    marked = docs.withColumn("_key", F.xxhash64("text"))
-    verdict = judge(marked.select(F.struct("doc_id", "_key").alias("doc_id"), "text"), threshold)
-    kept = verdict.where("kept").select(F.col("doc_id.doc_id").alias("_id"), F.col("doc_id._key").alias("_key")).distinct()
-    same = marked["doc_id"].eqNullSafe(kept["_id"]) & (marked["_key"] == kept["_key"])
-    return marked.join(kept, same, "left_semi").drop("_key")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc_id"), "text")
+    f = features(whole).withColumn("pattern", F.expr(f"cast({pattern_sql()} as int)"))
+    known = posteriors(f.groupBy("pattern").agg(F.count("*").alias("n")))
+    good = f"not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and p_good >= {threshold}"
+    return f.join(F.broadcast(known), "pattern").where(good).select("doc_id.*")
 
 
 def oracle(threshold: float = 0.5, rounds: int = ROUNDS) -> str:
