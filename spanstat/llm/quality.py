@@ -117,10 +117,12 @@ def filter_quality(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     the table of patterns, bounded by 3^rules rows, is broadcast.
     """
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc_id"), "text")
-    f = features(whole).withColumn("pattern", F.expr(f"cast({pattern_sql()} as int)"))
+    # Not null, so the join adds no test of it, and one expression over both sides:
+    # predicates that the optimiser moves through the features would be blown up.
+    f = features(whole).withColumn("pattern", F.expr(f"coalesce(cast({pattern_sql()} as int), 0)"))
     known = posteriors(f.groupBy("pattern").agg(F.count("*").alias("n")))
-    good = f"not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and p_good >= {threshold}"
-    return f.join(F.broadcast(known), "pattern").where(good).select("doc_id.*")
+    good = f"case when n_words < 20 or 100 * n_repeat_words > 30 * n_words then false else p_good >= {threshold} end"
+    return f.join(F.broadcast(known), "pattern", "left").where(good).select("doc_id.*")
 
 
 def oracle(threshold: float = 0.5, rounds: int = ROUNDS) -> str:
