@@ -135,7 +135,7 @@ N_BINS = " ".join(f"when '{k}' then {bins_of(v)}" for k, v in GENOME.items())
 PREFIX = f"cells as ({_cells('fx_mask')}), grid as (select c as chrom, unnest(range(0, n + 1)) as j, n from (values {', '.join(f'({k!r}, {bins_of(v)})' for k, v in GENOME.items())}) t(c, n)), pre as (select chrom, j, n, sum(coalesce(cover, 0)) over (partition by grid.chrom order by j) / 100.0 as p from grid left join (select chrom, b + 1 as j, cover from cells) using (chrom, j))"
 
 
-@query(f"{ctes('fx_mask')}, {PREFIX}, w as (select a.chrom, a.n, l, cast(b.p - a.p as double) as x from (values (1), (10), (60)) t(l) cross join pre a join pre b on a.chrom = b.chrom and b.j = a.j + l) select 0 as sid, chrom, cast(any_value(n) as bigint) as n_bins, cast(l as bigint) as l, round(avg(x), 5) as mean, round(var_pop(x), 4) as var from w group by chrom, l")
+@query(f"{ctes('fx_mask')}, {PREFIX}, w as (select chrom, n, l, cast(p - case l when 1 then lag(p, 1) over v when 10 then lag(p, 10) over v else lag(p, 60) over v end as double) as x from (values (1), (10), (60)) t(l), pre window v as (partition by chrom, l order by j)) select 0 as sid, chrom, cast(any_value(n) as bigint) as n_bins, cast(l as bigint) as l, round(avg(x), 5) as mean, round(var_pop(x), 4) as var from w where x is not null group by chrom, l")
 def moments_small_l(spark, sf):
     m = moments.moments(view(spark, sf, "fx_mask"), GENOME, SHORT)
     return m.select("sid", "chrom", "n_bins", "l", F.round("mean", 5).alias("mean"), F.round("var", 4).alias("var"))
@@ -146,7 +146,7 @@ ERFC = "(with_t.t * (0.254829592 + with_t.t * (-0.284496736 + with_t.t * (1.4214
 
 
 @query(
-    f"{ctes('fx_snp', 'fx_mask')}, {SNP_O}, {PREFIX}, m as (select a.chrom, avg(cast(b.p - a.p as double)) as mean, var_pop(cast(b.p - a.p as double)) as var from pre a join pre b on a.chrom = b.chrom and b.j = a.j + 1 group by 1),"
+    f"{ctes('fx_snp', 'fx_mask')}, {SNP_O}, {PREFIX}, m as (select chrom, avg(x) as mean, var_pop(x) as var from (select chrom, cast(p - lag(p, 1) over (partition by chrom order by j) as double) as x from pre) group by 1),"
     " g as (select sid as q_sid, sum(mean * 0.01) as mu, sum(var * 0.0001) as var, sum(mean) as mu_raw from fx_snp join m using (chrom) group by 1),"
     " x as (select q_sid, overlap_count, cast(o as double) as o, mu, var, mu_raw, mu * mu / (var - mu) as r, mu / var as p from o join g using (q_sid)),"
     " y as (select *, case when var > mu then o * ln((1 - r / (r + o)) / (1 - p)) + r * ln(r / (r + o) / p) else o * mu_raw / mu * ln(o * mu_raw / mu / mu_raw) - (o * mu_raw / mu - mu_raw) end as llr from x),"
@@ -314,7 +314,7 @@ def tile_cosine_gram(spark, sf):
     return rounded(embed.cosine_gram(embed.tiles(view(spark, sf, "fx_db"))))
 
 
-@query(f"{ctes('fx_db')}, {TILES.format(t='fx_db')}, {GRAM}, s as (select a_sid, b_sid, round(c / sqrt(cast(x.n as double) * y.n), 6) as cosine from g join n x on x.sid = a_sid join n y on y.sid = b_sid where a_sid <> b_sid), both as (select a_sid as q_sid, b_sid as d_sid, cosine from s union all select b_sid, a_sid, cosine from s) select * from (select *, row_number() over (partition by q_sid order by cosine desc, d_sid) as place from both) where place <= 3")
+@query(f"{ctes('fx_db')}, {TILES.format(t='fx_db')}, {GRAM}, s as (select a_sid, b_sid, round(c / sqrt(cast(x.n as double) * y.n), 6) as cosine from g join n x on x.sid = a_sid join n y on y.sid = b_sid where a_sid <> b_sid), pairs as (select a_sid as q_sid, b_sid as d_sid, cosine from s union all select b_sid, a_sid, cosine from s) select * from (select *, row_number() over (partition by q_sid order by cosine desc, d_sid) as place from pairs) where place <= 3")
 def tile_topn(spark, sf):
     g = tile_cosine_gram(spark, sf).where("a_sid <> b_sid")
     both = g.selectExpr("a_sid as q_sid", "b_sid as d_sid", "cosine").unionByName(g.selectExpr("b_sid as q_sid", "a_sid as d_sid", "cosine"))
