@@ -146,8 +146,8 @@ def test_near_duplicates(spark, tmp_path):
 
 
 def test_toxicity_on_held_out_labels(spark):
-    labels = {r.doc_id: r.toxic for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
-    got = queries()["op2_toxicity"](spark, "/root/testdata/sf0.01").collect()
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()}
+    got = queries()["op2_toxicity"](spark, "/root/testdata/sf0.1").collect()
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got)
     known = [(r.score, labels[r.doc_id]) for r in got if r.held_out and labels.get(r.doc_id) is not None]
     pos, neg = [s for s, y in known if y], [s for s, y in known if not y]
