@@ -49,9 +49,14 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
-    """file and bytes of the .bed and .bed.gz files; contents aren't read."""
-    f = spark.read.format("binaryFile").option("pathGlobFilter", "*.{bed,bed.gz}").load(path)
-    return f.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), F.col("length").alias("bytes"))
+    """file and bytes of the .bed and .bed.gz files of a folder, or of one file.
+
+    From the file system's listing, as Spark's readers leave out empty files.
+    """
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    found = [(s.getPath().getName(), s.getLen()) for s in fs.listStatus(at) if s.isFile()]
+    return spark.createDataFrame([f for f in found if f[0].endswith((".bed", ".bed.gz"))], "file string, bytes long")
 
 
 def read_bed(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
