@@ -145,6 +145,24 @@ def test_near_duplicates(spark, tmp_path):
     assert got == {1: (1, True), 2: (1, False), 3: (1, False), 4: (4, True), 5: (5, True), 6: (6, True)}
 
 
+def test_near_duplicates_with_unequal_repeats(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    rows = []
+    for g in range(25):
+        body = [f"b{g}x{i}" for i in range(400)]
+        line = [f"l{g}x{i}" for i in range(12)]
+        for k, times in enumerate((1, 50, 200, 700)):
+            words = list(body)
+            for at in rng.choice(400, k, replace=False):
+                words[at] = f"new{g}x{k}x{at}"
+            rows.append((4 * g + k, " ".join(words + line * times)))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for _, t in rows]
+    comp = union(len(rows), [(a, b) for a in range(len(rows)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
+    assert len(set(comp)) == 25
+    got = {r.doc_id: (r.class_id, r.kept) for r in probminhash.classes(files(spark, tmp_path, rows)).collect()}
+    assert got == {i: (comp[i], comp[i] == i) for i in range(len(rows))}
+
+
 def test_toxicity_on_held_out_labels(spark):
     labels = {r.doc_id: r.toxic for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()}
     got = queries()["op2_toxicity"](spark, "/root/testdata/sf0.1").collect()
