@@ -137,6 +137,54 @@ def test_embeddings(spark, tmp_path):
     assert {(r.vec_id, r.n_links, r.component_id) for r in small.collect()} == {(1, 1, 1), (2, 1, 1), *((i, 0, i) for i in range(3, 8))}
 
 
+def planted(rng, rows, dim, hot, clusters):
+    """Unit vectors: a hot cluster, clusters of two to six, and single ones."""
+    x = rng.normal(size=(rows, dim))
+    at = 0
+    for size in [hot, *rng.integers(2, 7, clusters)]:
+        x[at : at + size] = x[at] + rng.normal(size=(size, dim)) * np.linalg.norm(x[at]) * rng.uniform(0.02, 0.2) / np.sqrt(dim)
+        at += size
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    return x[rng.permutation(rows)]
+
+
+@pytest.mark.parametrize("hot", [2, 2700])
+def test_embedding_audit(monkeypatch, hot):
+    x = planted(np.random.default_rng(1), 12_000, 24, hot, 30)
+    base, own = x[:8192], np.r_[np.arange(8192), np.full(len(x) - 8192, -1)]
+    within = hnsw.Graph.within
+
+    def narrow(self, q, threshold, beam):
+        # A beam under 96 loses the links of small clusters, all but a row's own.
+        found = within(self, q, threshold, beam)
+        return found & ((found.sum(axis=1, keepdims=True) > 100) | (q @ self.x.T > 1 - 1e-9)) if beam < 96 else found
+
+    monkeypatch.setattr(hnsw.Graph, "within", narrow)
+    true = x @ base.T >= 0.93
+    true[np.arange(8192), np.arange(8192)] = False
+    n, _, _ = hnsw.search_shard(base, np.ones(8192, np.int64), x, own, 0.93, 0.999)
+    some = true.any(axis=1)
+    assert (n <= true.sum(axis=1)).all() and (n[some] / true.sum(axis=1)[some]).mean() >= 0.999
+    # No link in the shard but one: found, though no sample meets it.
+    far = np.linalg.qr(np.random.default_rng(2).normal(size=(400, 400)))[0]
+    far = np.r_[far, far[:1]]
+    n, _, _ = hnsw.search_shard(far[:400], np.ones(400, np.int64), far[400:], np.full(1, -1), 0.93, 0.999)
+    assert n.tolist() == [1]
+
+
+def test_embeddings_over_shards(spark, tmp_path):
+    x = planted(np.random.default_rng(4), 18_000, 24, 2700, 1500)
+    rows = spark.createDataFrame([(i, 1, v.tolist()) for i, v in enumerate(x)], "vec_id long, label int, embedding array<double>")
+    rows.write.parquet(str(tmp_path / "in"))
+    links = np.concatenate([(x[lo : lo + 1000] @ x.T >= 0.93).sum(axis=1) - 1 for lo in range(0, len(x), 1000)])
+    got = {r.vec_id: r.n_links for r in hnsw.near_duplicates(spark.read.parquet(str(tmp_path / "in"))).collect()}
+    n = np.array([got[i] for i in range(len(x))])
+    some = links > 0
+    recall = (n[some] / links[some]).mean()
+    print(f"recall {recall:.6f} of {some.sum()} rows, links {n.sum()} of {links.sum()}")
+    assert (n <= links).all() and recall >= 0.999
+
+
 def test_near_duplicates(spark, tmp_path):
     base = [f"w{i}" for i in range(120)]
     near = [*base[:119], "other"]
