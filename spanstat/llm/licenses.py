@@ -1,9 +1,11 @@
 """License scan: known license sentences, then ordered rules over their ids.
 
-In DataFrame functions only. A text is cut into sentences at line ends and after
-. ! ? or ; with white space behind; a sentence is normalised to lower-case letters
-and digits with single spaces. The ids of the known sentences of a text, in order,
-are matched against rules, each an ordered run of ids.
+In DataFrame functions only. A text is cut into pieces at line ends and after
+. ! ? or ; with white space behind; marks at line starts (comments, lists) go, and a
+piece is normalised to lower-case letters and digits with single spaces. A known
+sentence is one piece, or several of a paragraph in a row, as in wrapped texts. The
+ids of the known sentences of a text, in order, are matched against rules, each an
+ordered run of ids.
 """
 
 from __future__ import annotations
@@ -53,6 +55,9 @@ RULES = (
     ("All-rights-reserved", (16,)),
 )
 
+#: A line end with what stands between it and the next line's first word: comment and list marks.
+STARTS = r"[ \t\x0B\f\r]*+\n[^a-z0-9\n]*+(?:(?:[0-9]{1,2}|[a-z])\)[^a-z0-9\n]++|(?:rem|dnl)[ \t]++)?+"
+
 
 def normal(sentence: str) -> str:
     """The Python twin of the normalisation, for the table of known sentences."""
@@ -72,14 +77,15 @@ def scan(docs: DataFrame) -> DataFrame:
     empty text has none ('' and 0).
     """
     table = known()
-    listed = ", ".join(f"'{s}'" for s in table)
-    ids = ", ".join(str(i) for i in table.values())
-    d = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
-    d = d.select("doc_id", F.expr(r"split(regexp_replace(t, r'([.!?;])[ \t\x0B\f\r]+', '$1\n'), '\n')").alias("s"))
-    # Normalising never lengthens, so shorter sentences can't match.
-    short = min(map(len, table))
-    d = d.withColumn("s", F.expr(f"transform(filter(s, x -> length(x) >= {short}), x -> trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ')))"))
-    d = d.withColumn("ids", F.expr(f"transform(filter(s, x -> x in ({listed})), x -> array({ids})[cast(array_position(array({listed}), x) - 1 as int)])"))
+    ids = ", ".join(f"'{s}', {i}" for s, i in table.items())
+    # Each piece ends with a line end, a blank line has two; longer sentences are tried first.
+    spread = "|".join(s.replace(" ", r"[ \n]") for s in sorted(table, key=len, reverse=True))
+    d = docs.select("doc_id", F.concat(F.lit("\n"), F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), F.lit("\n")).alias("t"))
+    d = d.withColumn("t", F.expr(rf"regexp_replace(t, r'{STARTS}', '\n')"))
+    d = d.withColumn("t", F.expr(r"regexp_replace(regexp_replace(t, r'[.!?;][ \t\x0B\f\r]+', '\n'), r'[^a-z0-9\n]+', ' ')"))
+    d = d.withColumn("t", F.expr(r"replace(replace(t, ' \n', '\n'), '\n ', '\n')"))
+    d = d.withColumn("s", F.expr(rf"regexp_extract_all(t, r'\n({spread})(?=\n)', 1)"))
+    d = d.withColumn("ids", F.expr(rf"transform(s, x -> map({ids})[replace(x, '\n', ' ')])"))
     d = d.withColumn("sentence_ids", F.array_join("ids", ",")).withColumn("run", F.concat(F.lit(","), "sentence_ids", F.lit(",")))
     hits = [F.when(F.col("run").contains("," + ",".join(map(str, seq)) + ","), F.lit(name)) for name, seq in RULES]
     d = d.withColumn("hits", F.array_distinct(F.array_compact(F.array(*hits))))

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from spanstat.llm import bpe, hnsw, pack, probminhash, quality, substrings, token_files
+from spanstat.llm import bpe, hnsw, licenses, pack, probminhash, quality, substrings, token_files
 from spanstat.llm.queries import oracle_sql, queries
 from spanstat.llm.tokens import ids_bytes, tokenizer_path
 from tests.compare import oracle, spark_rows
@@ -229,6 +229,60 @@ def test_html(spark, tmp_path):
     assert got == {1: ("Long words & more, of an article's text. " * 8).strip() + "\nSecond one here.", 2: "", 3: ""}
 
 
+MIT = """MIT License
+
+Copyright (c) 2024 A. Author
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+CLAUSE = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."""
+
+
+def test_wrapped_licenses(spark, tmp_path):
+    texts = {"MIT": MIT, "BSD-2-Clause": BSD, "BSD-3-Clause": BSD + CLAUSE, "GPL-3.0": GPL}
+    marks = ["", "# ", " * ", "// ", ";; ", "-- ", "dnl "]
+    rows, want = [], []
+    for name, text in texts.items():
+        for t in [*("".join(m + line + "\n" for line in text.split("\n")) for m in marks), text.replace("\n", "\r\n"), text.replace("1. ", "1) ").replace("2. ", "* ")]:
+            rows.append((len(rows), t))
+            want.append(name)
+    cut = MIT.replace("a copy\nof this", "a copy\n\nof this")
+    rows += [(len(rows), cut), (len(rows) + 1, "x Licensed under CC BY 4.0.\nAll rights\nreserved. Released under the MIT License. y")]
+    want += ["", "All-rights-reserved,MIT"]
+    got = {r.doc_id: r.licenses for r in licenses.scan(files(spark, tmp_path, rows)).collect()}
+    assert got == dict(enumerate(want))
+
+
 def test_quality_of_odd_rows(spark, tmp_path):
     d = files(spark, tmp_path, ODD)
     got = quality.quality(d).collect()
