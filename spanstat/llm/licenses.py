@@ -6,6 +6,10 @@ piece is normalised to lower-case letters and digits with single spaces. A known
 sentence is one piece, or several of a paragraph in a row, as in wrapped texts. The
 ids of the known sentences of a text, in order, are matched against rules, each an
 ordered run of ids.
+
+Covered: MIT, Apache-2.0 (notices only), GPL-3.0 (notices only), BSD-2-Clause,
+BSD-3-Clause, CC-BY-4.0 and CC-BY-NC-4.0 (notices only) and "All rights reserved".
+Any other license, and the full texts of Apache-2.0, GPL-3.0 and CC, give none.
 """
 
 from __future__ import annotations
