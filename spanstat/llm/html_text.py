@@ -38,31 +38,41 @@ CLOSES = {
     "th": ({"td", "th"}, {"table", "tr"}),
     "option": ({"option"}, {"select"}),
 }
-#: Words of class, id or role that mark what isn't the article.
-BOILERPLATE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|sponsor\w*|promo\w*|banner|sidebar|side|comments?|comment-?list|respond|replies|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|breadcrumbs?|pagination|pager|menu|nav|navbar|navigation|footer|header|masthead|topbar|toolbar|widget|disclaimer|copyright|skip)(?:$|[\s_-])",
-    re.I,
-)
+#: Whole names of a class or id that mark what isn't the article: such words, with neutral ones or numbers at most beside them.
+MARK = r"(?:ads?|advert[a-z]*|adbox|sponsor[a-z]*|promo[a-z]*|banner|sidebar|side|comments?|comment-?list|respond|replies|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommend[a-z]*|breadcrumbs?|pagination|pager|menu|nav|navbar|navigation|footer|header|masthead|topbar|toolbar|widget|disclaimer|copyright|skip)"
+NEUTRAL = r"(?:site|page|top|bottom|left|right|box|bar|area|block|container|wrapper|wrap|section|list|link|links|item|items|form|global|primary|secondary|[0-9]+)"
+BOILERPLATE = re.compile(rf"(?:{NEUTRAL}[_-]+)*{MARK}(?:[_-]+(?:{MARK}|{NEUTRAL}))*", re.I)
+#: Elements that may be wrapped around the article, and so aren't cut where they are.
+AROUND = frozenset("nav header footer aside form button menu dialog label fieldset".split())
 TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|$))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+(?=>)|[^>]*)(?:>|$)|<[!?/][^>]*(?:>|$)", re.S)
-NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 
 
-def is_boilerplate(tag: str, attributes: str) -> bool:
+def attributes_of(source: str) -> dict[str, str]:
+    """Names in lower case and their values; of a repeated name the first counts."""
+    out: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(source):
+        value = m[2] or ""
+        if value[:1] in "\"'":
+            value = value[1:-1]
+        out.setdefault(m[1].lower(), html.unescape(value))
+    return out
+
+
+def boilerplate(tag: str, source: str) -> int:
+    """0: may be main text, 1: isn't unless the article is in it, 2: is never shown."""
     if tag in SKIP:
-        return True
-    if not attributes or tag in ("html", "body", "article", "main"):
-        return False
-    for m in NAMED.finditer(attributes):
-        name, value = m[1].lower(), (m[2] or "").strip("\"'")
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
-        if name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
-        if name in ("class", "id") and BOILERPLATE.search(value):
-            return True
-        if name == "role" and value.lower() in ("navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu"):
-            return True
-    return False
+        return 1 if tag in AROUND else 2
+    if not source or tag in ("html", "body", "article", "main"):
+        return 0
+    got = attributes_of(source)
+    if "hidden" in got or re.search(r"(?:^|;)\s*display\s*:\s*none", got.get("style", ""), re.I):
+        return 2
+    if got.get("aria-hidden", "").strip().lower() == "true":
+        return 1
+    if any(BOILERPLATE.fullmatch(x) for k in ("class", "id") for x in got.get(k, "").split()):
+        return 1
+    return int(got.get("role", "").strip().lower() in ("navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu"))
 
 
 class Page:
@@ -72,7 +82,10 @@ class Page:
         self.tag, self.parent, self.cut = ["#root"], [-1], [False]
         #: (element, text, or None where a block begins or ends)
         self.text: list[tuple[int, str | None]] = []
+        #: By element, what ``boilerplate`` says.
+        self.mark = [0]
         self._parse(source)
+        self._cut()
 
     def _parse(self, s: str) -> None:
         open_ = [0]
@@ -104,7 +117,8 @@ class Page:
             k = len(self.tag)
             self.tag.append(tag)
             self.parent.append(open_[-1])
-            self.cut.append(self.cut[open_[-1]] or is_boilerplate(tag, m[3]))
+            self.cut.append(False)
+            self.mark.append(boilerplate(tag, m[3]))
             if tag in BLOCK:
                 self.text.append((k, None))
             elif tag == "br":
@@ -115,6 +129,32 @@ class Page:
             elif tag not in VOID:
                 open_.append(k)
 
+    def _cut(self) -> None:
+        """Cut what is marked, but never what holds the article or most of the page's text.
+
+        A nav or footer stays only for an article in it: on a short page it can be longest.
+        """
+        n = len(self.tag)
+        never, linked, chars = [m == 2 for m in self.mark], [t == "a" for t in self.tag], [0] * n
+        for k in range(1, n):
+            p = self.parent[k]
+            never[k], linked[k] = never[k] or never[p], linked[k] or linked[p]
+        for k, t in self.text:
+            if t and not never[k] and not linked[k]:
+                chars[k] += len("".join(t.split()))
+        for k in range(n - 1, 0, -1):
+            chars[self.parent[k]] += chars[k]
+        marked = [m > 0 for m in self.mark]
+        for k in range(1, n):
+            marked[k] = marked[k] or marked[self.parent[k]]
+        keep = {k for k in range(1, n) if 2 * chars[k] > chars[0] and self.tag[k] not in ("nav", "footer")}
+        # Articles outside of all marks are there anyway; else the longest one is kept.
+        articles = [k for k in range(1, n) if self.tag[k] in ("article", "main") and chars[k]]
+        if articles and all(marked[k] for k in articles):
+            keep |= self._path(max(articles, key=lambda k: (chars[k], -k)))
+        for k in range(1, n):
+            self.cut[k] = self.cut[self.parent[k]] or self.mark[k] == 2 or self.mark[k] == 1 and k not in keep
+
     def _pop(self, open_: list[int], to: int) -> None:
         for k in open_[to:]:
             if self.tag[k] in BLOCK:

@@ -229,6 +229,37 @@ def test_html(spark, tmp_path):
     assert got == {1: ("Long words & more, of an article's text. " * 8).strip() + "\nSecond one here.", 2: "", 3: ""}
 
 
+P = "<p>" + "Long words of an article's text, with a stop. " * 6 + "</p>"
+SIDE = "<p>Buy this thing now.</p>"
+
+
+@pytest.mark.parametrize("attributes", ['class="content has-sidebar"', 'class="no-sidebar"', 'id="main-side"', 'title="The hidden valley"', 'data-hidden="false"', 'data-class="ad"', "data-x='a hidden b'", 'aria-hidden="false"', 'class="sidebar"', 'class="comments"', 'role="form"'])
+def test_html_keeps_wrappers(attributes):
+    from spanstat.llm.html_text import extract_text
+
+    want = ("Long words of an article's text, with a stop. " * 6).strip()
+    assert extract_text(f"<body><div {attributes}>{P}</div></body>") == want
+    assert extract_text(f"<body><form><div {attributes}><article>{P}</article></div></form></body>") == want
+
+
+@pytest.mark.parametrize("attributes", ['class="ad"', 'class="box sidebar"', 'id="cookie-banner"', 'class="site-footer"', "hidden", 'hidden=""', 'style="color:red; display: none"', 'aria-hidden="true"', "role=navigation", "class=ad"])
+def test_html_cuts(attributes):
+    from spanstat.llm.html_text import extract_text
+
+    want = ("Long words of an article's text, with a stop. " * 6).strip()
+    assert extract_text(f"<body><div>{P}<div {attributes}>{SIDE}</div></div></body>") == want
+
+
+def test_html_keeps_hidden_links():
+    from spanstat.llm.html_text import extract_text
+
+    text = P.replace("Long words", '<a href="/hidden-valley">Long</a> words', 1)
+    assert extract_text(f"<body><div>{text}</div></body>") == extract_text(f"<body><div>{P}</div></body>")
+    # An article that is shorter than a marked block stays.
+    both = extract_text(f"<body><form><article><p>Short but whole.</p></article></form><div class=comments>{P}</div></body>")
+    assert "Short but whole." in both
+
+
 MIT = """MIT License
 
 Copyright (c) 2024 A. Author
