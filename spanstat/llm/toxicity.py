@@ -1,10 +1,11 @@
 """Toxicity of whole texts after noisy-channel deobfuscation.
 
 1. A character trigram model is counted over all documents.
-2. Tokens that look obfuscated - signs or digits between letters, letters in
-   runs, single letters in a row - become lattices of what each character may
-   stand for (leetspeak, a spacer, a repetition); Viterbi decoding under the
-   trigram model gives the restored token.
+2. Tokens that the channel may have made - spacers or leetspeak beside letters,
+   doubled letters, single letters in a row - become lattices of what each
+   character may stand for (leetspeak, a spacer, a repetition); Viterbi decoding
+   under the trigram model gives the restored token. Two tokens in a row count as
+   a word that a space splits where the model prefers the whole and it has weight.
 3. Word and prefix features of restored tokens get smoothed log-odds from a bounded
    sample of labelled documents, and a logistic model over the strongest feature
    and the sum of the strong ones gives the score.
@@ -40,8 +41,12 @@ SPACERS = frozenset(" .-_*~'`,:/\\·•")
 #: Costs of the channel, as logarithms of probabilities.
 SAME, SWAPPED, SPACED, REPEATED = -0.05, -2.5, -1.0, -0.7
 EDGE = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()) + "«»“”„…–—¿¡"
-ODD = re.compile(r"[^\W\d_][\d@$!|+€£¢(<*#%&._~\-]+[^\W\d_]|[\d@$!|+€£¢(<*#%&]+[^\W\d_]{2}|[^\W\d_]{2}[\d@$!|+€£¢]|([^\W\d_])\1\1")
-SPELLED = re.compile(r"(?<!\S)(?:[^\W_][ ._*-]+){3,}[^\W_](?!\S)")
+_LETTER = r"[^\W\d_]"
+_LEET, _BETWEEN = (f"[{re.escape(''.join(sorted(x)))}]" for x in ("".join(LEET), "".join(SPACERS) + "".join(LEET)))
+#: What the channel may have made: its signs between letters, leetspeak beside one, a doubled letter.
+ODD = re.compile(rf"{_LETTER}{_BETWEEN}+{_LETTER}|{_LEET}{_LETTER}|{_LETTER}{_LEET}|({_LETTER})\1")
+_SPACER = f"[{re.escape(''.join(sorted(SPACERS)))}]"
+SPELLED = re.compile(rf"(?<!\S)(?:[^\W_]{_SPACER}+){{3,}}[^\W_](?!\S)")
 
 
 def classes_of(text: str) -> np.ndarray:
@@ -114,6 +119,16 @@ class CharModel:
         return "".join(reversed(out))
 
 
+    def chance(self, word: str) -> float:
+        """log P of a whole word, borders included."""
+        a = b = 0
+        out = 0.0
+        for k in [*(self.index.get(c, 1) for c in word), 0]:
+            out += self.log[a][b][k]
+            a, b = b, k
+        return out
+
+
 def character_counts(docs: DataFrame) -> dict[int, int]:
     """Trigram counts over all documents: at most CLASSES ** 3 sums."""
 
@@ -176,6 +191,19 @@ class Scorer:
     def __init__(self, counts: dict[int, int], weights: dict[str, float], coef: tuple[float, float, float] | None):
         self.restorer, self.weights, self.coef = Restorer(CharModel(counts)), weights, coef
         self.memo: dict[str, float] = {}
+        self.starts = {w[:k] for w in weights if not w.endswith("*") for k in range(1, len(w))}
+
+    def split(self, text: str) -> set[str]:
+        """Words with a weight that a space splits, where the model prefers the whole."""
+        out, restorer, tokens = set(), self.restorer, text.lower().split()
+        model = restorer.model
+        for a, b in set(zip(tokens, tokens[1:])):
+            for x in restorer.token(a):
+                if x in self.starts:
+                    for y in restorer.token(b):
+                        if x + y in self.weights and x + y not in out and model.chance(x + y) > model.chance(x) + model.chance(y) + SPACED:
+                            out.add(x + y)
+        return out
 
     def word(self, w: str) -> float:
         v = self.memo.get(w)
@@ -188,7 +216,7 @@ class Scorer:
 
     def evidence(self, text: str | None) -> tuple[float, float]:
         """The strongest word's weight, and the logarithm of the strong words' sum."""
-        found = [v for v in map(self.word, self.restorer.words(text)) if v > 0] if text else []
+        found = [v for v in map(self.word, self.restorer.words(text) | self.split(text)) if v > 0] if text else []
         return max(found, default=0.0), math.log1p(sum(found))
 
     def score(self, text: str | None) -> float:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from spanstat.llm import bpe, hnsw, licenses, pack, probminhash, quality, substrings, token_files
+from spanstat.llm import bpe, hnsw, licenses, pack, probminhash, quality, substrings, token_files, toxicity
 from spanstat.llm.queries import oracle_sql, queries
 from spanstat.llm.tokens import ids_bytes, tokenizer_path
 from tests.compare import oracle, spark_rows
@@ -229,6 +229,26 @@ def test_html(spark, tmp_path):
     assert got == {1: ("Long words & more, of an article's text. " * 8).strip() + "\nSecond one here.", 2: "", 3: ""}
 
 
+@pytest.fixture(scope="module")
+def scorer(spark):
+    counts = toxicity.character_counts(spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text"))
+    for w in ("worthless", "idiot"):
+        c = toxicity.classes_of(f"  {w}  ")
+        for a, b, k in zip(c, c[1:], c[2:]):
+            at = int((a * toxicity.CLASSES + b) * toxicity.CLASSES + k)
+            counts[at] = counts.get(at, 0) + 300
+    return toxicity.Scorer(counts, {"worthless": 5.0, "worthl*": 5.0, "idiot": 5.0}, (0.0, 1.0, 0.0))
+
+
+@pytest.mark.parametrize("text", [*(s.join(w) for w in ("worthless", "idiot") for s in sorted(toxicity.SPACERS)), *(f" {s} ".join("worthless") for s in "/,:'"), "wor'thless", "iiddiioott", "wworrthlless", "wor thless", "idi ot", "w0rthle55", "worthle$$", "1diot", "id1ot"])
+def test_toxicity_of_obfuscated_words(scorer, text):
+    assert scorer.evidence(f"plain {text} end")[0] == 5.0, scorer.restorer.words(text)
+
+
+def test_toxicity_of_plain_words(scorer):
+    assert scorer.evidence("or/and a book, letters: don't be idle.")[0] == 0.0
+
+
 P = "<p>" + "Long words of an article's text, with a stop. " * 6 + "</p>"
 SIDE = "<p>Buy this thing now.</p>"
 
