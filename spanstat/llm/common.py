@@ -2,23 +2,36 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of an Arrow batch at most: whole texts go through Python, and long ones must fit.
+BATCH_ROWS = 1000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Hold the session's Arrow batches to BATCH_ROWS rows, so that a Python worker
+    has a bounded number of whole texts in memory at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir,
-    or a temporary one where the session has none (local tests)."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir.
+
+    There is no fallback: a folder of the driver's own would be lost to executors.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="spanstat-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return found.rstrip("/")
 
 
@@ -26,13 +39,29 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """Cut the lineage: write to the shared folder as Parquet and read again."""
     path = scratch(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Delete what ``stored`` wrote; nothing that is still to be read may come from it."""
+    for df in frames:
+        delete(df.sparkSession, df.stored_at)
 
 
-def pieces(spark: SparkSession, total_rows: int, rows_each: int) -> int:
-    """A partition count that follows the rows and is never under the session's."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions", "8")), -(-total_rows // rows_each))
+def free_name(columns: Iterable[str], name: str) -> str:
+    """``name``, with underscores in front until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

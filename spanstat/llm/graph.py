@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanstat.llm.common import stored
+from spanstat.llm.common import dropped, stored
 
 
 def components(edges: DataFrame, what: str = "components") -> DataFrame:
@@ -13,7 +13,8 @@ def components(edges: DataFrame, what: str = "components") -> DataFrame:
 
     A node's least neighbour is an aggregate with a map-side part and comes back by
     a join, so a node with very many edges never has them gathered in one task.
-    Every round is written to the shared folder; rounds are about logarithmic.
+    Every round is written to the shared folder, and the one before it deleted;
+    rounds are about logarithmic.
     """
     e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     e, before = stored(e, what), None
@@ -23,7 +24,9 @@ def components(edges: DataFrame, what: str = "components") -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        e = stored(small.where("u <> v").distinct(), what)
+        new = stored(small.where("u <> v").distinct(), what)
+        dropped(e)
+        e = new
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if now == before:
             return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
