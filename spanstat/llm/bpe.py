@@ -10,14 +10,17 @@ each word that holds it, each word gets the merges that it would get alone.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from spanstat.llm.common import small_batches
 from spanstat.llm.tokens import CachedEncoder, ids_bytes, tokenizer_path
 
 #: Fixed value: the byte-level pre-tokeniser's pattern.
@@ -43,7 +46,7 @@ class PairIndexBPE:
             model = json.load(f)
         vocab = model["model"]["vocab"]
         letters = byte_letters()
-        self.byte_id = [vocab[c] for c in letters]
+        self.byte_id = np.array([vocab[c] for c in letters], np.int64)
         back = {c: b for b, c in enumerate(letters)}
         self.token_bytes = [b""] * (max([*vocab.values(), *(x["id"] for x in model["added_tokens"])]) + 1)
         for token, i in vocab.items():
@@ -58,30 +61,33 @@ class PairIndexBPE:
                 self.rank[key] = r
             self.pair.append(key)
             self.made.append(vocab[a + b])
+        #: Rank of each pair of single bytes, -1 where there is none.
+        byte_id = self.byte_id.tolist()
+        self.byte_rank = np.array([self.rank.get(a << 20 | b, -1) for a in byte_id for b in byte_id], np.int64)
         self.findall = regex.compile(PATTERN).findall
         self.words: dict[str, bytes] = {}
 
     def merge_words(self, words: list[str]) -> list[bytes]:
         """Ids of pre-tokens, by one pair occurrence index over all of them."""
-        byte_id, rank = self.byte_id, self.rank
-        sym: list[int] = []
-        nxt: list[int] = []
-        starts = []
-        for w in words:
-            starts.append(len(sym))
-            raw = w.encode()
-            n = len(sym)
-            sym += [byte_id[b] for b in raw]
-            nxt += range(n + 1, n + len(raw))
-            nxt.append(-1)
-        prv = [-1] * len(sym)
-        where: dict[int, list[int]] = {}
-        for i, j in enumerate(nxt):
-            if j >= 0:
-                prv[j] = i
-                r = rank.get(sym[i] << 20 | sym[j])
-                if r is not None:
-                    where.setdefault(r, []).append(i)
+        rank = self.rank
+        raw = [w.encode() for w in words]
+        size = np.array([len(x) for x in raw], np.int64)
+        codes = np.frombuffer(b"".join(raw), np.uint8).astype(np.int64)
+        ends = np.cumsum(size)
+        at = np.arange(len(codes))
+        last, first = np.zeros(len(codes), bool), np.zeros(len(codes), bool)
+        last[(ends - 1)[size > 0]], first[(ends - size)[size > 0]] = True, True
+        sym: list[int] = self.byte_id[codes].tolist()
+        nxt: list[int] = np.where(last, -1, at + 1).tolist()
+        prv: list[int] = np.where(first, -1, at - 1).tolist()
+        # The index of the pairs of single bytes, all positions at once.
+        spot = np.flatnonzero(~last)
+        r = self.byte_rank[codes[spot] * 256 + codes[spot + 1]] if len(spot) else spot
+        spot, r = spot[r >= 0], r[r >= 0]
+        order = np.argsort(r, kind="stable")
+        spot, r = spot[order], r[order]
+        new = np.flatnonzero(np.r_[True, r[1:] != r[:-1]]) if len(r) else r
+        where: dict[int, list[int]] = {k: x.tolist() for k, x in zip(r[new].tolist(), np.split(spot, new[1:]))}
         active = list(where)
         heapq.heapify(active)
         while active:
@@ -101,26 +107,31 @@ class PairIndexBPE:
                     prv[k] = i
                     q = rank.get(new << 20 | sym[k])
                     if q is not None:
-                        if q in where:
-                            where[q].append(i)
-                        else:
+                        x = where.get(q)
+                        if x is None:
                             where[q] = [i]
                             heapq.heappush(active, q)
+                        else:
+                            x.append(i)
                 if p >= 0:
                     q = rank.get(sym[p] << 20 | new)
                     if q is not None:
-                        if q in where:
-                            where[q].append(p)
-                        else:
+                        x = where.get(q)
+                        if x is None:
                             where[q] = [p]
                             heapq.heappush(active, q)
-        ends = [*starts[1:], len(sym)]
-        return [ids_bytes([s for s in sym[a:b] if s >= 0]) for a, b in zip(starts, ends)]
+                        else:
+                            x.append(p)
+        ids = np.array(sym, np.int64)
+        kept = np.r_[0, np.cumsum(ids >= 0)] * 4
+        out = ids[ids >= 0].astype("<u4").tobytes()
+        return [out[a:b] for a, b in zip(kept[ends - size].tolist(), kept[ends].tolist())]
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
-        if len(self.words) > 300_000:
+        if len(self.words) > 500_000:
             self.words = {}
-        cut = [self.findall(t) for t in texts]
+        # Letters, or a space and letters, are one pre-token.
+        cut = [(t,) if t.isalpha() or t[:1] == " " and t[1:].isalpha() else self.findall(t) for t in texts]
         fresh = list({w for c in cut for w in c} - self.words.keys())
         self.words.update(zip(fresh, self.merge_words(fresh)))
         get = self.words.__getitem__
@@ -131,16 +142,24 @@ class PairIndexBPE:
         return b"".join(map(get, memoryview(ids).cast("I"))).decode("utf-8", "replace")
 
 
+@functools.cache
+def coder(path: str | None) -> tuple[PairIndexBPE, CachedEncoder]:
+    """One of each in a Python worker: its tasks share the vocabulary and the bounded caches."""
+    bpe = PairIndexBPE(path)
+    return bpe, CachedEncoder(bpe.encode_many, limit=500_000)
+
+
 def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Encode and decode every whole text: doc_id, n_tokens and the two digests.
 
     A null or empty text has no ids and decodes to the empty text; repeated rows
-    give repeated rows; no other column than doc_id and text is read.
+    give repeated rows; no other column than doc_id and text is read; an empty
+    table gives no rows.
     """
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = PairIndexBPE(path)
-        encoder = CachedEncoder(bpe.encode_many)
+        bpe, encoder = coder(path)
         for batch in batches:
             n, a, b = [], [], []
             for part in range(0, batch.num_rows, 256):
