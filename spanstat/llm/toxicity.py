@@ -23,12 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanstat.llm.common import stored
+from spanstat.llm.common import released, small_batches, stored
 
 #: Labelled documents that the classifier is fitted on at most: a sample by hash.
 SAMPLE_DOCS = 20_000
-#: Features that the classifier keeps at most.
-FEATURES = 4_000
+#: Of the features those are kept that this many toxic documents of the sample have,
+#: whose log-odds are this high, and of these the strongest so many.
+LEAST_DOCS, LEAST_WEIGHT, FEATURES = 3, 2.0, 4_000
 LETTERS = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿßœ"
 #: 0: word border, 1: any other letter.
 CLASSES = len(LETTERS) + 2
@@ -46,6 +47,7 @@ _LEET, _BETWEEN = (f"[{re.escape(''.join(sorted(x)))}]" for x in ("".join(LEET),
 #: What the channel may have made: its signs between letters, leetspeak beside one, a doubled letter.
 ODD = re.compile(rf"{_LETTER}{_BETWEEN}+{_LETTER}|{_LEET}{_LETTER}|{_LETTER}{_LEET}|({_LETTER})\1")
 _SPACER = f"[{re.escape(''.join(sorted(SPACERS)))}]"
+RUN, SIGNS = re.compile(r"(.)\1+"), re.compile(r"[\W\d_]+")
 SPELLED = re.compile(rf"(?<!\S)(?:[^\W_]{_SPACER}+){{3,}}[^\W_](?!\S)")
 
 
@@ -147,35 +149,62 @@ def character_counts(docs: DataFrame) -> dict[int, int]:
     return {r.k: r.n for r in rows}
 
 
+def squeezed(word: str) -> str:
+    """Each run of one letter as a single one."""
+    return RUN.sub(r"\1", word)
+
+
 class Restorer:
-    """Distinct restored words of a text; decoded tokens are kept in a bounded memo."""
+    """Distinct restored words of a text; decoded tokens are kept in a bounded memo.
+
+    With ``weights``, a token of letters, and signs behind them, is decoded if that can
+    matter: decoding does no more than shorten its runs of one letter and add letters at
+    its end, so what comes out begins with the same squeezed form, and a feature with a
+    weight must hold it, or begin it.
+    """
 
-    def __init__(self, model: CharModel):
+    def __init__(self, model: CharModel, weights: dict[str, float] | None = None):
         self.model, self.memo = model, {}
+        self.whole = None
+        if weights is not None:
+            # Any part of a word: a space may split it, and leetspeak stand at a part's end.
+            spans = ((w, i, k) for w in weights for i in range(len(w)) for k in range(i + 1, len(w) + 1))
+            self.whole = {squeezed(w[i:k]) for w, i, k in spans}
+            self.begin = {squeezed(w[:-1]) for w in weights if w.endswith("*")}
+
+    def matters(self, t: str, core: str) -> bool:
+        if self.whole is None or not core.isalpha() or not LEET.keys().isdisjoint(t[: t.index(core)]):
+            return True
+        s = squeezed(core)
+        return s in self.whole or any(s[:k] in self.begin for k in range(1, 7))
+
+    def decoded(self, t: str) -> tuple[str, ...]:
+        core = t.strip(EDGE)
+        words = {core} if core.isalpha() else {w for w in SIGNS.split(core) if w}
+        if ODD.search(t) and self.matters(t, core):
+            if t == core or ODD.search(core):
+                words.add(self.model.restore(core))
+            if t != core:
+                words.add(self.model.restore(t))
+        return tuple(w for w in words if w)
 
     def token(self, t: str) -> tuple[str, ...]:
         found = self.memo.get(t)
         if found is None:
-            core = t.strip(EDGE)
-            words = {w for w in re.split(r"[\W\d_]+", core) if w}
-            if ODD.search(t):
-                words.add(self.model.restore(core))
-                words.add(self.model.restore(t))
-            found = tuple(w for w in words if w)
-            if len(self.memo) > 500_000:
+            if len(self.memo) > 100_000:
                 self.memo.clear()
-            self.memo[t] = found
+            found = self.memo[t] = self.decoded(t)
         return found
 
+    def spelled(self, low: str) -> set[str]:
+        """Runs of single letters: the whole run, then its parts at wider gaps."""
+        return {self.model.restore(part) for m in SPELLED.finditer(low) for part in [m[0], *re.split(r" {2,}", m[0])]}
+
     def words(self, text: str) -> set[str]:
         low = text.lower()
-        out: set[str] = set()
+        out = self.spelled(low)
         for t in set(low.split()):
             out.update(self.token(t))
-        for m in SPELLED.finditer(low):
-            # A run of single letters: the whole run, then its parts at wider gaps.
-            for part in [m[0], *re.split(r" {2,}", m[0])]:
-                out.add(self.model.restore(part))
         out.discard("")
         return out
 
@@ -189,34 +218,51 @@ class Scorer:
     """score(text) in 0..1 from feature weights and the logistic coefficients."""
 
     def __init__(self, counts: dict[int, int], weights: dict[str, float], coef: tuple[float, float, float] | None):
-        self.restorer, self.weights, self.coef = Restorer(CharModel(counts)), weights, coef
-        self.memo: dict[str, float] = {}
-        self.starts = {w[:k] for w in weights if not w.endswith("*") for k in range(1, len(w))}
+        self.restorer, self.weights, self.coef = Restorer(CharModel(counts), weights), weights, coef
+        #: Of each token met: its words with a weight, those that may begin one, and those that may end one; () if none.
+        self.memo: dict[str, tuple] = {}
+        words = [w for w in weights if not w.endswith("*")]
+        self.starts, self.ends = {w[:k] for w in words for k in range(1, len(w))}, {w[k:] for w in words for k in range(1, len(w))}
+
+    def known(self, t: str) -> tuple:
+        words = self.restorer.decoded(t)
+        found = tuple(w for w in words if self.word(w) > 0), tuple(w for w in words if w in self.starts), tuple(w for w in words if w in self.ends)
+        if len(self.memo) > 300_000:
+            self.memo.clear()
+        self.memo[t] = found = found if any(found) else ()
+        return found
 
-    def split(self, text: str) -> set[str]:
+    def split(self, tokens: list[str], begins: dict[str, tuple], ends: dict[str, tuple]) -> set[str]:
         """Words with a weight that a space splits, where the model prefers the whole."""
-        out, restorer, tokens = set(), self.restorer, text.lower().split()
-        model = restorer.model
-        for a, b in set(zip(tokens, tokens[1:])):
-            for x in restorer.token(a):
-                if x in self.starts:
-                    for y in restorer.token(b):
-                        if x + y in self.weights and x + y not in out and model.chance(x + y) > model.chance(x) + model.chance(y) + SPACED:
-                            out.add(x + y)
+        out, model = set(), self.restorer.model
+        for a, b in {(a, b) for a, b in zip(tokens, tokens[1:]) if a in begins and b in ends}:
+            for x in begins[a]:
+                for y in ends[b]:
+                    if x + y in self.weights and x + y not in out and model.chance(x + y) > model.chance(x) + model.chance(y) + SPACED:
+                        out.add(x + y)
         return out
 
     def word(self, w: str) -> float:
-        v = self.memo.get(w)
-        if v is None:
-            v = max((self.weights.get(f, 0.0) for f in features_of(w)), default=0.0)
-            if len(self.memo) > 500_000:
-                self.memo.clear()
-            self.memo[w] = v
-        return v
+        return max((self.weights.get(f, 0.0) for f in features_of(w)), default=0.0)
 
     def evidence(self, text: str | None) -> tuple[float, float]:
         """The strongest word's weight, and the logarithm of the strong words' sum."""
-        found = [v for v in map(self.word, self.restorer.words(text) | self.split(text)) if v > 0] if text else []
+        low = (text or "").lower()
+        tokens = low.split()
+        words, begins, ends = self.restorer.spelled(low), {}, {}
+        distinct = set(tokens)
+        for t, found in zip(distinct, map(self.memo.get, distinct)):
+            if found is None:
+                found = self.known(t)
+            if found:
+                words.update(found[0])
+                if found[1]:
+                    begins[t] = found[1]
+                if found[2]:
+                    ends[t] = found[2]
+        if begins and ends:
+            words |= self.split(tokens, begins, ends)
+        found = sorted(v for v in map(self.word, words) if v > 0)
         return max(found, default=0.0), math.log1p(sum(found))
 
     def score(self, text: str | None) -> float:
@@ -245,18 +291,21 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, features: int = FEATURES) -> tuple[dict, dict, tuple | None]:
+def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, features: int = FEATURES, least_docs: int = LEAST_DOCS, least_weight: float = LEAST_WEIGHT) -> tuple[dict, dict, tuple | None]:
     """(trigram counts, feature weights, logistic coefficients).
 
     Labels of held-out ids are never read. Of the others, the ``sample_docs`` first
-    by a hash of the id are used. Without both classes there are no coefficients.
+    by a hash of the id are used; of equal texts one, toxic if any of them is. The
+    features are chosen in this sample by ``least_docs``, ``least_weight`` and
+    ``features``; texts are scored whole. Without both classes, as with an empty
+    table, there are no coefficients.
     """
     counts = character_counts(docs)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna().where(~held_out())
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # Bounded by sample_docs rows of 12 bytes; one row per distinct labelled text.
-    rows = texts.join(F.broadcast(known), "doc_id").dropDuplicates(["text"]).select("text", "toxic")
+    rows = texts.join(F.broadcast(known), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic"))
     rows = stored(rows, "toxicity-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,13 +318,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, feat
         cols = [pa.array(names, pa.string()), *(pa.array([c[f] for f in names], pa.int64()) for c in (pos, neg))]
         yield pa.RecordBatch.from_arrays(cols, names=["f", "pos", "neg"])
 
-    seen = rows.mapInArrow(count, "f string, pos long, neg long").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    seen = stored(seen.where("f = '' or pos >= 3"), "toxicity-features")
+    seen = rows.mapInArrow(released(count), "f string, pos long, neg long").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    seen = stored(seen.where((F.col("f") == "") | (F.col("pos") >= least_docs)), "toxicity-features")
     total = {r.f: r for r in seen.where("f = ''").collect()}.get("")
     if total is None or not total.pos or not total.neg:
         return counts, {}, None
     odds = F.log((F.col("pos") + 0.5) / (total.pos + 1)) - F.log((F.col("neg") + 0.5) / (total.neg + 1))
-    best = seen.where("f <> ''").withColumn("w", odds).where("w > 2").orderBy(F.desc(F.col("w") * F.sqrt("pos")), "f").limit(features).collect()
+    best = seen.where("f <> ''").withColumn("w", odds).where(F.col("w") > least_weight).orderBy(F.desc(F.col("w") * F.sqrt("pos")), "f").limit(features).collect()
     weights = {r.f: r.w for r in best}
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,8 +334,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, feat
             cols = [pa.array([x[k] for x in found], pa.float64()) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([*cols, batch.column(1)], names=["a", "b", "toxic"])
 
-    # At most sample_docs rows of 20 bytes.
-    data = np.array([[r.a, r.b, r.toxic] for r in rows.mapInArrow(measure, "a double, b double, toxic int").orderBy("a", "b", "toxic").collect()])
+    # At most sample_docs rows of 20 bytes; sorted here, so that sums don't depend on the partitions.
+    data = np.array(sorted([r.a, r.b, r.toxic] for r in rows.mapInArrow(measure, "a double, b double, toxic int").collect()))
     return counts, weights, tuple(logistic(data[:, :2], data[:, 2]).tolist())
 
 
@@ -294,8 +343,10 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample_doc
     """doc_id, held_out, score and predicted of every document.
 
     A null or empty text gets the score of a text without evidence; without labels
-    of both classes every score is 0. A null doc_id isn't held out.
+    of both classes every score is 0. A null doc_id isn't held out. Repeated rows get
+    equal scores, an empty table none; other columns aren't read.
     """
+    small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, sample_docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,11 +359,15 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample_doc
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "held_out", "score", "predicted"])
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
-    return d.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return d.mapInArrow(released(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def filter_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """The rows of ``docs`` with a score under the threshold; columns are kept."""
+    """The rows of ``docs`` with a score under the threshold, with all their columns.
+
+    Null and empty texts are judged as texts without evidence, and stay.
+    """
+    small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,4 +378,4 @@ def filter_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) ->
                 texts = b.column(b.schema.get_field_index("text")).to_pylist()
                 yield b.filter(pa.array([scorer.score(t) < threshold for t in texts], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)
