@@ -28,8 +28,8 @@ def cosine_gram(t: DataFrame) -> DataFrame:
     return both.join(a, "a_sid").join(b, "b_sid").select("a_sid", "b_sid", (F.col("both") / F.sqrt(F.col("na").cast("double") * F.col("nb"))).alias("cosine"))
 
 
-def svd_index(t: DataFrame, variance: float = 0.95, components: int = 128) -> tuple[list[int], np.ndarray, np.ndarray]:
-    """Source ids, unit embeddings and singular values. Only the gram matrix, sources
+def svd_index(t: DataFrame, variance: float = 0.95, components: int = 128) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
+    """Source ids, unit embeddings, singular values and left singular vectors. Only the gram matrix, sources
     by sources, reaches the driver; beyond some thousands of sources it shouldn't."""
     rows = cosine_gram(t).collect()
     sids = sorted({r.a_sid for r in rows})
@@ -46,23 +46,27 @@ def svd_index(t: DataFrame, variance: float = 0.95, components: int = 128) -> tu
     sigma = np.sqrt(val[:k])
     u = vec[:, :k] * sigma
     norm = np.linalg.norm(u, axis=1, keepdims=True)
-    return sids, np.divide(u, norm, out=np.zeros_like(u), where=norm > 0), sigma
+    return sids, np.divide(u, norm, out=np.zeros_like(u), where=norm > 0), sigma, vec[:, :k]
 
 
-def svd_project(t: DataFrame, index: tuple[list[int], np.ndarray, np.ndarray], queries: DataFrame) -> DataFrame:
-    """q_sid and its unit embedding, of query tiles that the index knows."""
-    sids, emb, sigma = index
+def svd_project(t: DataFrame, index: tuple[list[int], np.ndarray, np.ndarray, np.ndarray], queries: DataFrame) -> DataFrame:
+    """q_sid, n_tiles, n_hits (tiles that the index knows) and the unit embedding of these.
+
+    A source of the index projects onto its own embedding.
+    """
+    sids, _, sigma, left = index
     spark = t.sparkSession
     n = t.groupBy("sid").agg(F.count("*").alias("n"))
     k = len(sigma)
-    raw = spark.createDataFrame([(s, [float(x) for x in emb[i]]) for i, s in enumerate(sids)], "sid int, e array<double>")
+    raw = spark.createDataFrame([(s, [float(x) for x in left[i]]) for i, s in enumerate(sids)], "sid int, e array<double>")
     inv = F.array(*[F.lit(float(1 / s) if s > 1e-10 else 0.0) for s in sigma])
     # V = X' U / sigma: a tile's row is the sum over its sources.
     rows = t.join(F.broadcast(raw.join(n, "sid")), "sid").select("chrom", "tile", F.zip_with("e", inv, lambda a, b: a * b).alias("e"), F.sqrt("n").alias("r"))
     v = rows.groupBy("chrom", "tile").agg(*[F.sum(F.col("e")[i] / F.col("r")).alias(f"v{i}") for i in range(k)])
     p = queries.withColumnRenamed("sid", "q_sid").join(v, ["chrom", "tile"]).groupBy("q_sid").agg(*[F.sum(f"v{i}").alias(f"v{i}") for i in range(k)], F.count("*").alias("n_hits"))
     norm = F.sqrt(sum((F.col(f"v{i}") * F.col(f"v{i}") for i in range(k)), F.lit(0.0)))
-    return p.select("q_sid", "n_hits", F.array(*[F.when(norm > 0, F.col(f"v{i}") / norm).otherwise(0.0) for i in range(k)]).alias("e"))
+    total = queries.groupBy(F.col("sid").alias("q_sid")).agg(F.count("*").alias("n_tiles"))
+    return p.join(total, "q_sid").select("q_sid", "n_tiles", "n_hits", F.array(*[F.when(norm > 0, F.col(f"v{i}") / norm).otherwise(0.0) for i in range(k)]).alias("e"))
 
 
 def top_similar(sims: DataFrame, n: int = 10) -> DataFrame:

@@ -106,10 +106,10 @@ def score(q: DataFrame, d: DataFrame, store: DataFrame, genome: dict[str, int] =
     return with_scores(c.join(null_moments(q, store, genome), ["q_sid", "d_sid"]))
 
 
-def pairwise(a: DataFrame, b: DataFrame, genome: dict[str, int] = HG38) -> DataFrame:
+def pairwise(a: DataFrame, b: DataFrame, genome: dict[str, int] = HG38, lengths: Sequence[int] | None = None) -> DataFrame:
     """Score of sets ``a`` against sets ``b`` by the product of their coverages."""
     o = coverage_dot(a, b, genome).withColumnRenamed("dot", "observed_bins")
-    return with_scores(o.join(null_moments(a, moments(b, genome), genome), ["q_sid", "d_sid"]))
+    return with_scores(o.join(null_moments(a, moments(b, genome, lengths) if lengths else moments(b, genome), genome), ["q_sid", "d_sid"]))
 
 
 def diagnostics(store: DataFrame) -> DataFrame:

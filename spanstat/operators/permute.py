@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanstat.operators.overlap import clip, overlap_counts
@@ -25,7 +25,9 @@ def moved(q: DataFrame, trials: int, mode: str, genome: dict[str, int] = HG38, s
     ``offset``, an expression over trial, row, chrom, start, stop and size, replaces
     the hash. The trials are exploded per row, so there is no cross join.
     """
-    d = q.select("sid", "chrom", "start", "stop", F.xxhash64("sid", "chrom", "start", "stop").alias("row"), genome_map(genome, F.col("chrom")).alias("size"))
+    # Repeated rows are numbered, so that each has its own draw.
+    same = F.row_number().over(Window.partitionBy("sid", "chrom", "start", "stop").orderBy("start"))
+    d = q.select("sid", "chrom", "start", "stop", F.xxhash64("sid", "chrom", "start", "stop", same).alias("row"), genome_map(genome, F.col("chrom")).alias("size"))
     d = d.where("size is not null").withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
     if mode == "circular":
         top = max(genome.values())

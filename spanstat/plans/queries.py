@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanstat.functions import names, stats
-from spanstat.operators import analytics, embed, moments, overlap, permute, regions, sorting
+from spanstat.operators import analytics, compare, embed, filters, moments, ontology, overlap, permute, regions, sorting
 from spanstat.plans.tables import GENOME, ctes, load, view
 from spanstat.schema import BIN, LayerConfig, bins_of
-from spanstat.sources import bed
+from spanstat.sources import bed, scores, split
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -349,3 +349,174 @@ def source_counts(spark, sf):
 @query(f"{QD}, o as (select sid, count(*) as n, round(avg((stop - start) / 100.0), 6) as mean_bins from fx_query group by 1) select * from o")
 def mean_interval_bins(spark, sf):
     return rounded(view(spark, sf, "fx_query").groupBy("sid").agg(F.count("*").alias("n"), F.avg((F.col("stop") - F.col("start")) / F.lit(float(BIN))).alias("mean_bins")))
+
+
+@query(f"{ctes('fx_db')} select sid, chrom, start, stop, stop - start as size from fx_db where stop - start >= 190")
+def min_size_filter(spark, sf):
+    return filters.min_size(view(spark, sf, "fx_db")).withColumn("size", F.col("stop") - F.col("start"))
+
+
+ODD_CHROM = "case when o_orderkey % 3 = 0 then concat('chr', cast(o_orderkey % 25 as varchar(9))) when o_orderkey % 3 = 1 then 'chrX' when o_orderkey % 5 = 0 then 'chrUn_1' else 'scaffold1' end"
+
+
+@query(f"select * from (select o_orderkey, {ODD_CHROM} as chrom from orders) where regexp_matches(chrom, '^chr[0-9XY]+')")
+def normal_chromosome_filter(spark, sf):
+    return filters.normal_chromosomes(load(spark, sf, "orders").select("o_orderkey", F.expr(ODD_CHROM.replace("varchar(9)", "string")).alias("chrom")))
+
+
+@query("select l_orderkey, l_linenumber, l_discount as p from lineitem where l_discount <= 0.05")
+def p_threshold(spark, sf):
+    d = load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_discount").alias("p"))
+    return filters.significant(d, "p", 0.05)
+
+
+@query("select l_orderkey, l_linenumber, round(greatest(case when l_returnflag = 'R' then 1 - l_tax else l_tax end, 2.2250738585072014e-308), 9) as p from lineitem")
+def direction_fix(spark, sf):
+    alt = F.when(F.col("l_returnflag") == "R", "l").when(F.col("l_returnflag") == "A", "g")
+    p = filters.directed(F.col("l_tax"), F.coalesce(alt, F.lit("two.sided")))
+    return load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.round(p, 9).alias("p"))
+
+
+TOOLS = "a as (select l_suppkey as name, round(avg(l_discount), 9) as score from lineitem where l_suppkey % 3 <> 0 group by 1), b as (select l_suppkey as name, round(avg(l_tax), 9) as score from lineitem where l_suppkey % 2 = 0 group by 1)"
+
+
+@query(f"with {TOOLS} select name, a.score as x, b.score as y from a join b using (name)")
+def tool_alignment(spark, sf):
+    d = load(spark, sf, "lineitem")
+    a, b = (d.where(w).groupBy(F.col("l_suppkey").alias("name")).agg(F.round(F.avg(c), 9).alias("score")) for w, c in (("l_suppkey % 3 <> 0", "l_discount"), ("l_suppkey % 2 = 0", "l_tax")))
+    return compare.aligned(a, b, "name", "score")
+
+
+@query(f"{QD}, c as (select q.sid as q_sid, d.sid as d_sid, count(*) as n from fx_query q join fx_db d on {THETA} group by 1, 2), s as (select q.sid as q_sid, d.sid as d_sid, round((q.sid + 1) * 0.1 + d.sid, 6) as p_value from (select distinct sid from fx_query) q, (select unnest(range(0, 15)) as sid) d) select s.q_sid, cast(s.d_sid as int) as d_sid, cast(s.p_value as double) as p_value, coalesce(n, 0) as overlap_count from s left join c using (q_sid, d_sid)")
+def counts_with_scores(spark, sf):
+    q, d = view(spark, sf, "fx_query"), view(spark, sf, "fx_db")
+    s = q.select(F.col("sid").alias("q_sid")).distinct().withColumn("d_sid", F.explode(F.sequence(F.lit(0), F.lit(14))))
+    s = s.withColumn("p_value", F.round((F.col("q_sid") + 1) * 0.1 + F.col("d_sid"), 6))
+    return compare.with_counts(s, overlap.overlap_counts(q, d))
+
+
+ORDER = ("soft", "metal")
+
+
+@query(f"select p_partkey, category, cast(case category when 'soft' then 1 when 'metal' then 2 else 3 end as int) as place from (select p_partkey, {FIRST} as category from part)")
+def category_order(spark, sf):
+    d = load(spark, sf, "part").select("p_partkey", analytics.first_category(F.col("p_type"), WORDS).alias("category"))
+    return d.withColumn("place", compare.category_place(F.coalesce("category", F.lit("")), ORDER))
+
+
+@query("select concat('cell', l_suppkey % 7, '_', case l_returnflag when 'A' then 'TssA' when 'N' then 'Quies' else 'Enh' end) as name, concat('chr', l_linenumber) as chrom, l_orderkey * 10 as start, l_orderkey * 10 + 5 as stop from lineitem")
+def state_split(spark, sf):
+    rows = load(spark, sf, "lineitem").select(F.concat(F.lit("E"), F.col("l_suppkey") % 7).alias("sample"), F.concat(F.lit("chr"), "l_linenumber").alias("chrom"), (F.col("l_orderkey") * 10).alias("start"), (F.col("l_orderkey") * 10 + 5).alias("stop"), F.col("l_returnflag").alias("state"))
+    cells = spark.createDataFrame([(f"E{i}", f"cell{i}") for i in range(7)], "sample string, cell string")
+    return split.by_state(rows, cells, spark.createDataFrame([("A", "TssA"), ("N", "Quies"), ("R", "Enh")], "state string, label string"))
+
+
+@query("select regexp_replace(replace(replace(replace(trim(p_name), '''', ''), '/', '_'), ' ', '_'), '[^A-Za-z0-9_-]', '', 'g') as trait, concat('chr', p_size) as chrom, p_partkey * 100 as start, p_partkey * 100 + 1 as stop from part")
+def trait_split(spark, sf):
+    d = load(spark, sf, "part").select("p_name", F.concat(F.col("p_size").cast("string"), F.lit(".0")).alias("c"), F.concat((F.col("p_partkey") * 100).cast("string"), F.lit(".0")).alias("pos"))
+    return split.by_trait(d, "p_name", "c", "pos")
+
+
+@query("select p_partkey, trim(regexp_replace(lower(replace(p_type, '_', ' ')), '\\s+', ' ', 'g')) as form from part")
+def trait_forms(spark, sf):
+    d = load(spark, sf, "part").select("p_partkey", F.concat("p_type", F.lit("  Levels")).alias("t"))
+    return d.select("p_partkey", F.get(names.candidates(F.col("t")), F.lit(1)).alias("form"))
+
+
+TREE = "e as (select c_custkey as child, c_custkey // 3 as parent from customer where c_custkey > 0)"
+
+
+@query(f"with recursive {TREE}, a(node, ancestor) as (select n, n from (select child as n from e union select parent from e) union select a.node, e.parent from a join e on e.child = a.ancestor) select node, ancestor from a")
+def ontology_ancestors(spark, sf):
+    e = load(spark, sf, "customer").where("c_custkey > 0").select(F.col("c_custkey").alias("child"), F.expr("c_custkey div 3").alias("parent"))
+    return ontology.ancestors(e)
+
+
+@query("select l_orderkey, l_linenumber, round(-log10(greatest(l_discount, 1e-300)), 6) as score from lineitem")
+def minus_log10(spark, sf):
+    return load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.round(stats.minus_log10(F.col("l_discount")), 6).alias("score"))
+
+
+@query(f"{ctes('fx_db')} select value, row_number() over (order by cast(substr(chrom, 4) as int), start, stop, value) as place from (select *, concat_ws(chr(9), chrom, start, stop) as value from fx_db where sid = 3)")
+def bed_sort(spark, sf):
+    from pyspark.sql import Window
+
+    lines = view(spark, sf, "fx_db").where("sid = 3").select(F.concat_ws("\t", "chrom", "start", "stop").alias("value"))
+    # Sorted over all partitions; a row's place is counted from its partition's first.
+    d = sorting.sort_bed(lines, natural=True).select("value", F.monotonically_increasing_id().alias("id")).withColumn("part", F.shiftright("id", 33))
+    first = d.groupBy("part").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return d.join(F.broadcast(first), "part").select("value", (F.col("before") + F.col("id").bitwiseAND((1 << 33) - 1) + 1).alias("place"))
+
+
+@query(f"{ctes('fx_db')} select sid, count(*) as n, cast(sum(stop - start) as bigint) as total_bp, row_number() over (order by count(*) desc, sid) as place from fx_db group by 1")
+def per_file_stats(spark, sf):
+    from pyspark.sql import Window
+
+    # One row per source: the ordered window is small.
+    d = view(spark, sf, "fx_db").groupBy("sid").agg(F.count("*").alias("n"), F.sum(F.col("stop") - F.col("start")).alias("total_bp"))
+    return d.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "sid")))
+
+
+@query(f"{ctes('fx_db')}, v as (select log10(stop - start + 1) as x from fx_db), e as (select min(x) as lo, max(x) as hi from v) select cast(least(floor((x - lo) / (hi - lo) * 50), 49) as bigint) as bucket, count(*) as n from v, e group by 1")
+def log_size_histogram(spark, sf):
+    return analytics.histogram(view(spark, sf, "fx_db"), F.log10(F.col("stop") - F.col("start") + 1))
+
+
+@query(f"{ctes('fx_mask')}, {PREFIX}, m as (select chrom, l, avg(x) as mean, var_pop(x) as var from (select chrom, l, cast(p - case l when 1 then lag(p, 1) over v when 10 then lag(p, 10) over v else lag(p, 60) over v end as double) as x from (values (1), (10), (60)) t(l), pre window v as (partition by chrom, l order by j)) where x is not null group by chrom, l), r as (select l, var / mean as r, row_number() over (partition by l order by var / mean) - 1 as k, count(*) over (partition by l) as n from m where mean > 1e-10) select cast(l as bigint) as l, round(max(r) filter (k = n // 2), 4) as median_ratio, avg(case when r > 1 then 1.0 else 0.0 end) as overdispersed from r group by l")
+def moment_diagnostics(spark, sf):
+    d = moments.diagnostics(moments.moments(view(spark, sf, "fx_mask"), GENOME, SHORT))
+    return d.select("l", F.round("median_ratio", 4).alias("median_ratio"), "overdispersed")
+
+
+@query("select concat('s', s_suppkey % 10) as name, cast(m as int) as milestone, round(s_suppkey / (m * 10.0), 9) as p from supplier, (values (100), (500)) t(m) where s_suppkey < 50")
+def milestone_report(spark, sf):
+    d = load(spark, sf, "supplier").where("s_suppkey < 50").select("s_suppkey")
+    row = lambda m: F.concat(F.lit("x/s"), F.col("s_suppkey") % 10, F.lit(".clean.bed.gz\t3\t"), F.round(F.col("s_suppkey") / F.lit(m * 10.0), 9))
+    parts = [d.select(F.lit(3 * i + 2).alias("line"), row(m).alias("value")) for i, m in enumerate((100, 500))]
+    marks = spark.createDataFrame([(0, "# milestone=100 trials=100"), (1, "db_name\tobserved\tp_value"), (3, "# milestone=500 trials=500"), (4, "s9.bed\t1\t-")], "line int, value string")
+    out = scores.milestones(marks.unionByName(parts[0]).unionByName(parts[1]), "line")
+    return out.select("name", "milestone", F.round("p", 9).alias("p"))
+
+
+@query("select cast(l_suppkey as int) as d_sid, round(least(greatest(avg(l_discount) * 30, -1.0), 1.0), 6) as cosine from lineitem where l_partkey % 5 = 0 group by 1 order by 2 desc, 1 limit 10")
+def reference_scores(spark, sf):
+    d = load(spark, sf, "lineitem").where("l_partkey % 5 = 0").groupBy(F.col("l_suppkey").cast("int").alias("d_sid")).agg((F.avg("l_discount") * 30).alias("cosine"))
+    return rounded(compare.best_similar(d, 10))
+
+
+NEEDED = "with_t.t * (0.254829592 + with_t.t * (-0.284496736 + with_t.t * (1.421413741 + with_t.t * (-1.453152027 + with_t.t * 1.061405429)))) * exp(-llr)"
+LENGTHS = (1, 5, 20, 45)
+#: Query sets of four fixed lengths, whose window moments SQL can still express.
+FIXED = "fl as (select sid, chrom, start, start + case when sid = 0 then 100 when sid = 1 then 480 when sid = 2 then 1950 else 4500 end as stop from fx_query)"
+LAGS = " ".join(f"when {l} then lag(p, {l}) over v" for l in LENGTHS)
+FIXED_M = f"m as (select chrom, l, avg(x) as mean, var_pop(x) as var from (select chrom, l, cast(p - case l {LAGS} end as double) as x from (values {', '.join(f'({l})' for l in LENGTHS)}) t(l), pre window v as (partition by chrom, l order by j)) where x is not null group by chrom, l)"
+FIXED_N = "g as (select sid as q_sid, chrom, cast(ceil((stop - start) / 100.0) as bigint) as l, (stop - start) / 100.0 as b from fl), n as (select q_sid, sum(mean * cast(b as double) / g.l) as mu, sum(var * power(cast(b as double) / g.l, 2)) as var, sum(mean / g.l) as mu_raw from g join m on m.chrom = g.chrom and m.l = g.l group by 1)"
+
+
+def _fixed(spark, sf):
+    size = F.when(F.col("sid") == 0, 100).when(F.col("sid") == 1, 480).when(F.col("sid") == 2, 1950).otherwise(4500)
+    return view(spark, sf, "fx_query").withColumn("stop", F.col("start") + size)
+
+
+@query(f"{ctes('fx_query', 'fx_mask')}, {FIXED}, {PREFIX}, {FIXED_M}, {FIXED_N} select q_sid, 0 as d_sid, round(mu, 5) as mu, round(var, 3) as var, round(mu_raw, 5) as mu_raw from n")
+def null_moments(spark, sf):
+    store = moments.moments(view(spark, sf, "fx_mask"), GENOME, LENGTHS)
+    n = moments.null_moments(_fixed(spark, sf), store, GENOME)
+    return n.select("q_sid", "d_sid", F.round("mu", 5).alias("mu"), F.round("var", 3).alias("var"), F.round("mu_raw", 5).alias("mu_raw"))
+
+
+SCORED = "x as (select q_sid, n_o, o, mu, var, mu_raw, mu * mu / (var - mu) as r, mu / var as p from o join n using (q_sid)), y as (select *, case when var > mu then o * ln((1 - r / (r + o)) / (1 - p)) + r * ln(r / (r + o) / p) else o * mu_raw / mu * ln(o / mu) - (o * mu_raw / mu - mu_raw) end as llr from x), with_t as (select *, 1 / (1 + 0.3275911 * sqrt(greatest(llr, 0))) as t from y)"
+P_SQL = f"round(case when llr > 0 then case when o >= mu then {NEEDED} / 2 else 1 - {NEEDED} / 2 end else 1.0 end, 6) as p_value"
+
+
+@query(f"{ctes('fx_query', 'fx_mask')}, {FIXED}, {PREFIX}, {FIXED_M}, {FIXED_N}, o as (select q.sid as q_sid, count(*) as n_o, cast(sum(least(q.stop, d.stop) - greatest(q.start, d.start)) / 100.0 as double) as o from fl q join fx_mask d on {THETA} group by 1), {SCORED} select q_sid, 0 as d_sid, n_o as overlap_count, round(o, 4) as observed_bins, round(llr, 3) as llr, {P_SQL} from with_t")
+def stats_nb_fixed(spark, sf):
+    d = view(spark, sf, "fx_mask")
+    s = moments.score(_fixed(spark, sf), d, moments.moments(d, GENOME, LENGTHS), GENOME)
+    return s.select("q_sid", "d_sid", "overlap_count", F.round("observed_bins", 4).alias("observed_bins"), F.round("llr", 3).alias("llr"), F.round("p_value", 6).alias("p_value"))
+
+
+@query(f"{ctes('fx_query', 'fx_mask')}, {FIXED}, {PREFIX}, {FIXED_M}, {FIXED_N}, a as ({_cells('fl')}), o as (select a.sid as q_sid, 0 as n_o, cast(sum(a.cover * b.cover) as double) / 10000 as o from a join cells b using (chrom, b) group by 1), {SCORED} select q_sid, 0 as d_sid, round(o, 4) as observed_bins, round(llr, 3) as llr, {P_SQL} from with_t")
+def pairwise_fixed(spark, sf):
+    p = moments.pairwise(_fixed(spark, sf), view(spark, sf, "fx_mask"), GENOME, LENGTHS)
+    return p.select("q_sid", "d_sid", F.round("observed_bins", 4).alias("observed_bins"), F.round("llr", 3).alias("llr"), F.round("p_value", 6).alias("p_value"))

@@ -47,6 +47,13 @@ def add(spark: SparkSession, path: str, db: str, stats: bool = False, chroms: li
     sources.write.mode("append").parquet(f"{db}/sources")
 
 
+def layers(spark: SparkSession, db: str, config: LayerConfig = LayerConfig()) -> DataFrame:
+    """chrom, layer, its largest size and its intervals, of all shards."""
+    steps = F.array(*[F.lit(config.max_size(k)).cast("long") for k in range(16)])
+    d = _need(spark, db, "intervals").groupBy("chrom", F.col("layer").cast("int").alias("layer")).agg(F.count("*").alias("n"))
+    return d.select("chrom", "layer", F.get(steps, F.col("layer")).alias("max_size"), "n").orderBy("chrom", "layer")
+
+
 def info(spark: SparkSession, db: str) -> DataFrame:
     """sid and name of all sources."""
     return _need(spark, db, "sources").orderBy("sid")
@@ -70,7 +77,10 @@ def query(spark: SparkSession, db: str, path: str, mode: str = "counts", genome:
     if mode == "intervals":
         out = overlap_join(q, d).select("q_sid", "d_sid", F.col("q_chrom").alias("chrom"), F.col("q_start").alias("query_start"), F.col("q_stop").alias("query_end"), F.col("d_start").alias("db_start"), F.col("d_stop").alias("db_end"), F.col("bp").alias("intersection_bp"))
     elif mode == "stats":
-        out = mo.score(q, d, _need(spark, db, "moments"), genome).select("q_sid", "d_sid", "overlap_count", "observed_bins", "p_value", "llr")
+        store = _table(spark, db, "moments")
+        # A database without moments has no scores.
+        store = spark.createDataFrame([], mo.MOMENTS) if store is None else store
+        out = mo.score(q, d, store, genome).select("q_sid", "d_sid", "overlap_count", "observed_bins", "p_value", "llr")
     elif mode == "counts":
         out = overlap_counts(q, d).select("q_sid", "d_sid", "overlap_count")
     else:
