@@ -109,6 +109,35 @@ def test_substrings(spark, docs, tmp_path):
     assert Counter(tuple(r) for r in substrings.removed(files(spark, tmp_path, rows)).select(*cols).collect()) == repeats(rows)
 
 
+@pytest.mark.parametrize("batch", [2, 1000])
+@pytest.mark.parametrize("entries", [2, 2000])
+def test_substrings_of_many_entries(spark, tmp_path, entries, batch):
+    # Common lines with own text around them, copies, repeated ids and rows, long texts.
+    rng = np.random.default_rng(9)
+    words = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(300)]
+    prose = lambda n: " ".join(rng.choice(words, n))
+    line, copy = prose(30), prose(60)
+    rows = [(int(i), f"{prose(int(rng.integers(1, 30)))} {line} {prose(int(rng.integers(1, 30)))}") for i in rng.permutation(60)]
+    rows += [(100 + i, copy) for i in range(5)] + [(105, copy[:150] + "X" + copy[151:]), (106, "ab" * 40000 + line), (106, None), (107, prose(9000))]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        cols = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+        got = Counter(tuple(r) for r in substrings.removed(files(spark, tmp_path, rows), entries=entries).select(*cols).collect())
+        assert got == repeats(rows)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
+def test_substrings_dedup(spark, tmp_path):
+    long = " ".join(f"é{i}" for i in range(60))
+    rows = [(1, long, 5, "u", 7), (2, long + " end", 6, "v", 8), (3, None, 0, None, 9), (None, "x", 1, "w", 1)]
+    schema = "doc_id long, text string, n_chars long, _uid string, found int"
+    got = sorted((tuple(r) for r in substrings.dedup(files(spark, tmp_path, rows, schema)).collect()), key=str)
+    cut = long.encode()[0:0] + b" end"
+    assert got == sorted([(1, long, 5, "u", 7), (2, cut.decode(), 4, "v", 8), (3, None, 0, None, 9), (None, "x", 1, "w", 1)], key=str)
+    assert substrings.dedup(files(spark, tmp_path, [], schema)).collect() == []
+
+
 def union(n, edges):
     root = list(range(n))
 
