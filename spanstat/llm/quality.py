@@ -111,18 +111,19 @@ def quality(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def filter_quality(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns.
+    """The rows of ``docs`` that are kept, with all their columns, whatever their names.
 
-    The row itself goes along through the features, so no text is shuffled; only
-    the table of patterns, bounded by 3^rules rows, is broadcast.
+    The row itself goes along through the features, so no text is shuffled; it is
+    stored once with its pattern, so no feature is computed twice. Only the table of
+    patterns, bounded by 3^rules rows, is broadcast. Null and empty texts go, an
+    empty table stays empty, repeated rows are judged alike.
     """
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc_id"), "text")
-    # Not null, so the join adds no test of it, and one expression over both sides:
-    # predicates that the optimiser moves through the features would be blown up.
+    whole = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("doc_id"), "text")
     f = features(whole).withColumn("pattern", F.expr(f"coalesce(cast({pattern_sql()} as int), 0)"))
+    f = stored(f.select("doc_id", "pattern", F.expr("n_words < 20 or 100 * n_repeat_words > 30 * n_words").alias("base_failed")), "quality-rows")
     known = posteriors(f.groupBy("pattern").agg(F.count("*").alias("n")))
-    good = f"case when n_words < 20 or 100 * n_repeat_words > 30 * n_words then false else p_good >= {threshold} end"
-    return f.join(F.broadcast(known), "pattern", "left").where(good).select("doc_id.*")
+    good = (~F.col("base_failed")) & (F.col("p_good") >= threshold)
+    return f.join(F.broadcast(known), "pattern").where(good).select(*[F.col(f"doc_id.c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def oracle(threshold: float = 0.5, rounds: int = ROUNDS) -> str:
