@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanstat.llm.common import released, small_batches
 from spanstat.llm.tokens import fast_encoder, ids_bytes
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -67,7 +68,7 @@ def token_pieces(docs: DataFrame, length: int, end_id: int, path: str | None) ->
                     crcs.append([zlib.crc32(ids[a : a + step]) for a in range(0, len(ids), step)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(crcs, pa.list_(pa.int64()))], names=["doc_id", "doc_tokens", "crcs"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, doc_tokens long, crcs array<long>")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(released(run), "doc_id long, doc_tokens long, crcs array<long>")
 
 
 def pack(docs: DataFrame, length: int = 2048, end_id: int = 1, path: str | None = None, group_docs: int = 1024) -> DataFrame:
@@ -75,8 +76,9 @@ def pack(docs: DataFrame, length: int = 2048, end_id: int = 1, path: str | None
 
     A null or empty text has the end id alone. Repeated rows are packed once each.
     Rows are dealt by a hash of the id, the size and the row's place, so equal ids
-    don't meet in one group.
+    don't meet in one group. An empty table gives no pieces; other columns aren't read.
     """
+    small_batches(docs.sparkSession)
     groups = max(1, -(-docs.count() // group_docs))
     sized = token_pieces(docs, length, end_id, path).withColumn("deal", F.pmod(F.xxhash64("doc_id", "doc_tokens", F.monotonically_increasing_id()), F.lit(groups)))
 

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanstat.llm.common import dropped, free_name, small_batches, stored
+from spanstat.llm.common import dropped, free_name, released, small_batches, stored
 from spanstat.llm.graph import components
 
 WORDS, BANDS, ROWS = 5, 25, 5
@@ -113,7 +113,7 @@ def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(cols, names=["uid", "doc_id", "whole", "n", "keys"])
 
     d = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return d.mapInArrow(run, "uid long, doc_id long, whole string, n long, keys array<long>")
+    return d.mapInArrow(released(run), "uid long, doc_id long, whole string, n long, keys array<long>")
 
 
 def shingle_sets(texts: DataFrame) -> DataFrame:
@@ -127,7 +127,7 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
                 sets = [np.unique(shingler.hashes(t)).tobytes() for t in b.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["uid", "items"])
 
-    return texts.select("uid", "text").mapInArrow(run, "uid long, items binary")
+    return texts.select("uid", "text").mapInArrow(released(run), "uid long, items binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -149,7 +149,7 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
             yield batch.filter(pa.array(keep, pa.bool_())).select(["u", "v"])
 
     joined = pairs.join(b, "v").join(a, "u").select("u", "v", "x", "y")
-    return joined.mapInArrow(run, "u long, v long")
+    return joined.mapInArrow(released(run), "u long, v long")
 
 
 def prefixes(sets: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
@@ -167,7 +167,7 @@ def prefixes(sets: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
                 flat = np.frombuffer(b"".join(b.column(1).to_pylist()), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), n)), pa.array(flat)], names=["uid", "item"])
 
-    rows = sets.join(nodes.select("uid"), "uid", "left_semi").select("uid", "items").mapInArrow(run, "uid long, item long")
+    rows = sets.join(nodes.select("uid"), "uid", "left_semi").select("uid", "items").mapInArrow(released(run), "uid long, item long")
     common = rows.groupBy("item").agg(F.count("*").alias("k")).where("k > 1")
     ranked = rows.join(common, "item").groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("k", "item"))).alias("s"))
     sized = ranked.join(nodes.select("uid", "n"), "uid").withColumn("own", F.col("n") - F.size("s"))
