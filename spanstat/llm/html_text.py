@@ -148,6 +148,14 @@ class Page:
         for k in range(1, n):
             marked[k] = marked[k] or marked[self.parent[k]]
         keep = {k for k in range(1, n) if 2 * chars[k] > chars[0] and self.tag[k] not in ("nav", "footer")}
+        # A header in an article holds its headline.
+        inner, headed = [False] * n, [False] * n
+        for k in range(1, n):
+            p = self.parent[k]
+            inner[k] = inner[p] or self.tag[p] == "article"
+        for k in range(n - 1, 0, -1):
+            headed[self.parent[k]] |= headed[k] or self.tag[k] in ("h1", "h2")
+        keep |= {k for k in range(1, n) if self.tag[k] == "header" and inner[k] and headed[k]}
         # Articles outside of all marks are there anyway; else the longest one is kept.
         articles = [k for k in range(1, n) if self.tag[k] in ("article", "main") and chars[k]]
         if articles and all(marked[k] for k in articles):
@@ -233,7 +241,7 @@ class Page:
         while k > body:
             k = self.parent[k]
             threshold = min(threshold, density[k])
-        found, todo = set(), [body]
+        found, todo, path = set(), [body], self._path(top)
         kids: list[list[int]] = [[] for _ in range(n)]
         for k in range(1, n):
             kids[self.parent[k]].append(k)
@@ -243,7 +251,7 @@ class Page:
             if self.cut[k] or k in found:
                 continue
             todo += kids[k]
-            if k != body and density[k] >= threshold and self.tag[k] in BLOCK and k not in self._path(top):
+            if k != body and density[k] >= threshold and self.tag[k] in BLOCK and k not in path:
                 found.add(best(k, ends[k]))
         return found
 

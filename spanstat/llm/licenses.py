@@ -7,9 +7,11 @@ sentence is one piece, or several of a paragraph in a row, as in wrapped texts.
 ids of the known sentences of a text, in order, are matched against rules, each an
 ordered run of ids.
 
-Covered: MIT, Apache-2.0 (notices only), GPL-3.0 (notices only), BSD-2-Clause,
-BSD-3-Clause, CC-BY-4.0 and CC-BY-NC-4.0 (notices only) and "All rights reserved".
-Any other license, and the full texts of Apache-2.0, GPL-3.0 and CC, give none.
+Covered: MIT, BSD-2-Clause, BSD-3-Clause, ISC and Unlicense by text; Apache-2.0,
+GPL-2.0, GPL-3.0, LGPL-2.1, AGPL-3.0, MPL-2.0, CC-BY-4.0, CC-BY-NC-4.0 and CC-BY-SA-4.0
+by notice; SPDX tags of these, LGPL-3.0 and CC0-1.0; "All rights reserved". Any other
+license, and the full texts of those that are known by notice, give none. Sentences of
+the table end where a text is cut, so a notice with an inner ; or "v. 2.0" has parts.
 """
 
 from __future__ import annotations
@@ -38,6 +40,31 @@ SENTENCES = (
     (17, "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
     (18, "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
     (19, "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    (21, "SPDX-License-Identifier: MIT"),
+    (22, "SPDX-License-Identifier: Apache-2.0"),
+    (23, "SPDX-License-Identifier: BSD-2-Clause"),
+    (24, "SPDX-License-Identifier: BSD-3-Clause"),
+    (25, "SPDX-License-Identifier: GPL-2.0-only"),
+    (26, "SPDX-License-Identifier: GPL-2.0-or-later"),
+    (27, "SPDX-License-Identifier: GPL-3.0-only"),
+    (28, "SPDX-License-Identifier: GPL-3.0-or-later"),
+    (29, "SPDX-License-Identifier: LGPL-3.0-or-later"),
+    (30, "SPDX-License-Identifier: AGPL-3.0-or-later"),
+    (31, "SPDX-License-Identifier: MPL-2.0"),
+    (32, "SPDX-License-Identifier: ISC"),
+    (33, "SPDX-License-Identifier: Unlicense"),
+    (34, "SPDX-License-Identifier: CC0-1.0"),
+    (35, "This Source Code Form is subject to the terms of the Mozilla Public License, v."),
+    (36, "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    (37, "This is free and unencumbered software released into the public domain."),
+    (38, "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    (39, "either version 2.1 of the License, or (at your option) any later version."),
+    (40, "either version 2 of the License, or (at your option) any later version."),
+    (44, "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation;"),
+    (45, "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation;"),
+    (41, "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    (42, "Licensed under CC BY-SA 4.0."),
+    (43, "Licensed under the MIT License, see LICENSE."),
     (20, "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
 )
 
@@ -46,6 +73,29 @@ RULES = (
     ("MIT", (3, 4)),
     ("MIT", (1,)),
     ("MIT", (2,)),
+    ("MIT", (21,)),
+    ("MIT", (43,)),
+    ("Apache-2.0", (22,)),
+    ("GPL-2.0", (25,)),
+    ("GPL-2.0", (26,)),
+    ("GPL-2.0", (45, 40)),
+    ("GPL-3.0", (27,)),
+    ("GPL-3.0", (28,)),
+    ("LGPL-2.1", (44, 39)),
+    ("LGPL-3.0", (29,)),
+    ("AGPL-3.0", (30,)),
+    ("AGPL-3.0", (38,)),
+    ("MPL-2.0", (31,)),
+    ("MPL-2.0", (35,)),
+    ("ISC", (32,)),
+    ("ISC", (36,)),
+    ("Unlicense", (33,)),
+    ("Unlicense", (37,)),
+    ("CC0-1.0", (34,)),
+    ("CC-BY-SA-4.0", (41,)),
+    ("CC-BY-SA-4.0", (42,)),
+    ("BSD-2-Clause", (23,)),
+    ("BSD-3-Clause", (24,)),
     ("Apache-2.0", (6, 7, 8)),
     ("Apache-2.0", (5,)),
     ("GPL-3.0", (10, 11)),

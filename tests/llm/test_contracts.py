@@ -368,3 +368,108 @@ def test_quality_of_odd_rows(spark, tmp_path):
     got = quality.quality(d).collect()
     assert len(got) == len(ODD) and all(r.base_failed and not r.kept for r in got)
     assert quality.filter_quality(files(spark, tmp_path, [])).count() == 0
+
+
+MORE = {
+    "GPL-2.0": "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or\n(at your option) any later version.",
+    "LGPL-2.1": "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this file",
+    "MIT": "# SPDX-License-Identifier: MIT",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.",
+}
+
+
+def test_further_licenses(spark, tmp_path):
+    rows = [(i, t) for i, t in enumerate(MORE.values())]
+    got = {r.doc_id: r.licenses for r in licenses.scan(files(spark, tmp_path, rows)).collect()}
+    assert got == dict(enumerate(MORE))
+
+
+def test_html_headline():
+    from spanstat.llm.html_text import extract_text
+
+    assert extract_text(f"<body><header><a href=/>site</a></header><article><header><h1>Head line</h1></header>{P}</article></body>").startswith("Head line\nLong words")
+
+
+@pytest.mark.parametrize("block", [1, 3, 7, 64])
+def test_token_files_over_blocks(spark, tmp_path, block):
+    ids = [[5, 6, 7], [], [8] * 20, [9]]
+    raw = b"".join(np.array([*x, token_files.SPECIAL_ID], "<u2").tobytes() for x in ids)
+    (tmp_path / "a").write_bytes(raw)
+    (tmp_path / "b").write_bytes(np.array([1, 2, 3], "<u2").tobytes())
+    got = sorted((r.file[-1], r.ordinal, r.start, r.n_tokens) for r in token_files.scan_files(spark, str(tmp_path), block=block).collect())
+    assert got == [("a", 0, 0, 3), ("a", 1, 4, 0), ("a", 2, 5, 20), ("a", 3, 26, 1), ("b", 0, 0, 3)]
+
+
+def test_viterbi_against_all_paths():
+    """Restoring a token gives a path that no other one beats."""
+    import itertools
+
+    text = "  idiot  stupid  dust  tid  "
+    c = toxicity.classes_of(text)
+    counts = Counter(int((a * toxicity.CLASSES + b) * toxicity.CLASSES + k) for a, b, k in zip(c, c[1:], c[2:]))
+    model = toxicity.CharModel(counts)
+
+    def choices(ch):
+        out = [(x, toxicity.SWAPPED) for x in toxicity.LEET.get(ch, "")] + ([(ch, toxicity.SAME)] if ch.isalpha() else [])
+        skip = toxicity.SPACED if ch in toxicity.SPACERS else 2 * toxicity.SWAPPED if not ch.isalnum() or not out else None
+        return [*((x, cost, again) for x, cost in out for again in (False, True)), *([(None, skip, False)] if skip is not None else [])]
+
+    def best(token):
+        found = (-1e9, "")
+        for path in itertools.product(*map(choices, token)):
+            score, word, fits = 0.0, "", True
+            for x, cost, again in path:
+                if again:
+                    fits = fits and word[-1:] == x
+                    score += cost + toxicity.REPEATED
+                elif x is None:
+                    score += cost
+                else:
+                    a, b = ([0, 0, *(model.index.get(y, 1) for y in word)])[-2:]
+                    score, word = score + cost + model.log[a][b][model.index.get(x, 1)], word + x
+            a, b = ([0, 0, *(model.index.get(y, 1) for y in word)])[-2:]
+            if fits:
+                found = max(found, (score + model.log[a][b][0], word))
+        return found[1]
+
+    for token in ("1d10t", "i-d-i", "stuup1d", "du$t", "t!!d", "8x"):
+        assert model.restore(token) == best(token), token
+
+
+@pytest.mark.parametrize("rows", [[], [(1, None, "x", 1), (1, "", "y", 2), (2, "word " * 250_000, "z", 3), (2, "word " * 250_000, "z", 3), (None, "a plain text of some words", None, None)]])
+def test_stages_of_odd_rows(spark, tmp_path, rows):
+    """Every filtering stage takes empty tables, nulls, 1 MB texts, repeated rows and clashing names."""
+    schema = "doc_id long, text string, _uid string, pattern int"
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    d = files(spark, tmp_path, rows, schema)
+    kinds = {r: i for i, r in enumerate(rows)}
+    for stage in (quality.filter_quality, lambda x: toxicity.filter_toxic(x, labels), probminhash.dedup):
+        out = stage(d)
+        assert out.columns == d.columns
+        assert {tuple(r) for r in out.collect()} <= kinds.keys()
+    assert len(toxicity.filter_toxic(d, labels).collect()) == len(rows)
+    assert len(probminhash.dedup(d).collect()) == max(0, len(rows) - 1)
+    assert len(substrings.dedup(d).collect()) == len(rows)
+    for op in (bpe.encode_decode, quality.quality, licenses.scan, token_files.token_counts, probminhash.classes, substrings.removed):
+        assert len(op(d).collect()) == len(rows), op
+    pack.pack(d).collect()
+
+
+def test_pipeline(spark):
+    """Each stage keeps the columns; kept rows are those that the operators keep, and every id is packed."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = docs
+        docs = corpus_pipeline.stored(stage(spark, docs, SF), name)
+        assert docs.columns == before.columns
+        if name != "substrings":
+            assert {tuple(r) for r in docs.collect()} <= {tuple(r) for r in before.collect()}
+    good = {r.doc_id for r in quality.quality(spark.read.parquet(f"{SF}/documents.parquet")).where("kept").collect()}
+    kept = {r.doc_id: r.text for r in docs.collect()}
+    assert kept.keys() <= good
+    # No word run of the near-duplicate rule is left twice: no two texts are equal before the cut of passages.
+    tok = Tokenizer.from_file(tokenizer_path())
+    tok.no_truncation(), tok.no_padding()
+    packed(corpus_pipeline.run(spark, SF).collect(), list(kept.items()), tok)
