@@ -85,7 +85,7 @@ class CachedEncoder:
     becomes its special id, as the library does by default.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], specials: bool = True, limit: int = 100_000, chunks: Callable[[list[str]], list[bytes]] | None = None):
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], specials: bool = True, limit: int = 500_000, chunks: Callable[[list[str]], list[bytes]] | None = None):
         self.many, self.specials, self.limit, self.chunks = encode_many, specials, limit, chunks or encode_many
         self.newline = encode_many(["\n"])[0]
         self.special = ids_bytes([SPECIAL_ID])
@@ -107,7 +107,7 @@ class CachedEncoder:
         for t in texts:
             batch.append(t or "")
             size += len(t or "")
-            if size > 1_000_000:
+            if size > 2_000_000:
                 out += self._encode(batch)
                 batch, size = [], 0
         return out + self._encode(batch)
