@@ -177,6 +177,18 @@ def planted(rng, rows, dim, hot, clusters):
     return x[rng.permutation(rows)]
 
 
+@pytest.mark.parametrize("rows", [1, 2, 700])
+def test_stored_graph(rows):
+    x = planted(np.random.default_rng(8), rows, 16, min(rows, 40), 0)
+    graph = hnsw.Graph(x)
+    again = hnsw.Graph.of(x, graph.neighbours())
+    assert [m.tolist() for m in graph.members] == [m.tolist() for m in again.members]
+    for a, b in zip(graph.links, again.links):
+        assert [sorted(r[r >= 0].tolist()) for r in a] == [sorted(r[r >= 0].tolist()) for r in b]
+    made = hnsw.made_probes(x, 0.93, 50)
+    assert np.allclose(np.linalg.norm(made, axis=1), 1) and ((made @ x.T).max(axis=1) >= 0.93 - 1e-9).all()
+
+
 @pytest.mark.parametrize("hot", [2, 2700])
 def test_embedding_audit(monkeypatch, hot):
     x = planted(np.random.default_rng(1), 12_000, 24, hot, 30)
@@ -191,13 +203,13 @@ def test_embedding_audit(monkeypatch, hot):
     monkeypatch.setattr(hnsw.Graph, "within", narrow)
     true = x @ base.T >= 0.93
     true[np.arange(8192), np.arange(8192)] = False
-    n, _, _ = hnsw.search_shard(base, np.ones(8192, np.int64), x, own, 0.93, 0.999)
+    n, _, _ = hnsw.search_shard(hnsw.Graph(base), np.ones(8192, np.int64), x, own, 0.93, 0.999)
     some = true.any(axis=1)
     assert (n <= true.sum(axis=1)).all() and (n[some] / true.sum(axis=1)[some]).mean() >= 0.999
     # No link in the shard but one: found, though no sample meets it.
     far = np.linalg.qr(np.random.default_rng(2).normal(size=(400, 400)))[0]
     far = np.r_[far, far[:1]]
-    n, _, _ = hnsw.search_shard(far[:400], np.ones(400, np.int64), far[400:], np.full(1, -1), 0.93, 0.999)
+    n, _, _ = hnsw.search_shard(hnsw.Graph(far[:400]), np.ones(400, np.int64), far[400:], np.full(1, -1), 0.93, 0.999)
     assert n.tolist() == [1]
 
 
