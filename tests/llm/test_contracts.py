@@ -50,12 +50,15 @@ def test_bpe(spark, docs, tok, tmp_path):
         assert Counter(tuple(r) for r in got.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()) == want
 
 
-def test_token_counts(spark, docs, tmp_path):
+def test_token_counts(spark, docs, tok, tmp_path):
     got = Counter(tuple(r) for r in queries()["op1_token_counts"](spark, SF).select("doc_id", "n_tokens").collect())
     bpe_counts = Counter(tuple(r) for r in queries()["op7_bpe"](spark, SF).select("doc_id", "n_tokens").collect())
     assert got == bpe_counts
-    small = token_files.token_counts(files(spark, tmp_path, ODD[:6]))
-    assert Counter(r.doc_id for r in small.collect()) == Counter(i for i, _ in ODD[:6])
+    want = Counter((i, len(tok.encode(text or "", add_special_tokens=False).ids)) for i, text in ODD)
+    odd = files(spark, tmp_path, ODD)
+    for file_docs in (1, 2, 20_000):
+        assert Counter(tuple(r) for r in token_files.token_counts(odd, file_docs=file_docs).select("doc_id", "n_tokens").collect()) == want
+    assert token_files.token_counts(files(spark, tmp_path, [])).collect() == []
 
 
 def packed(rows, texts, tok):
@@ -406,7 +409,7 @@ def test_html_headline():
 @pytest.mark.parametrize("block", [1, 3, 7, 64])
 def test_token_files_over_blocks(spark, tmp_path, block):
     ids = [[5, 6, 7], [], [8] * 20, [9]]
-    raw = b"".join(np.array([*x, token_files.SPECIAL_ID], "<u2").tobytes() for x in ids)
+    raw = b"".join(np.array([*x, token_files.END_ID], "<u2").tobytes() for x in ids)
     (tmp_path / "a").write_bytes(raw)
     (tmp_path / "b").write_bytes(np.array([1, 2, 3], "<u2").tobytes())
     got = sorted((r.file[-1], r.ordinal, r.start, r.n_tokens) for r in token_files.scan_files(spark, str(tmp_path), block=block).collect())
