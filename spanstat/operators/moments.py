@@ -38,19 +38,28 @@ def slot_of(l: int) -> int:
 def window_moments(g: np.ndarray, lengths: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
     """Mean and population variance of the sums of all windows of each length.
 
-    Prefix sums are of the coverage less its mean, which keeps the variance of
-    short windows exact on long chromosomes; their autocorrelation is one FFT.
+    The coverage is taken less its mean; its own autocorrelation, one FFT, gives the
+    squares of all windows, those cut by an end included, which are taken off. The
+    FFT's error then is relative to the coverage, not to its running sum, which is far
+    larger. Windows over half of the chromosome are few, and summed one by one.
     """
     n, mean = len(g), float(g.mean())
-    prefix = np.concatenate(([0.0], np.cumsum(g - mean)))
-    size = 1 << (2 * len(prefix) - 1).bit_length()
-    f = np.fft.rfft(prefix, size)
-    auto = np.fft.irfft(f.real**2 + f.imag**2, size)[: n + 1]
-    one, two = (np.concatenate(([0.0], np.cumsum(x))) for x in (prefix, prefix * prefix))
+    centred = g - mean
+    prefix = np.concatenate(([0.0], np.cumsum(centred, dtype=np.longdouble)))
+    one = np.concatenate(([0.0], np.cumsum(prefix)))
+    prefix = prefix.astype(float)
+    size = 1 << (2 * n - 1).bit_length()
+    f = np.fft.rfft(centred, size)
+    auto = np.fft.irfft(f.real**2 + f.imag**2, size)[:n]
+    auto[1:] *= 2
+    every = np.concatenate(([0.0], np.cumsum(np.cumsum(auto))))
+    cut = np.concatenate(([0.0], np.cumsum(prefix[1:] ** 2 + (prefix[n] - prefix[n - 1 :: -1]) ** 2)))
     l = np.asarray(lengths, dtype=np.int64)
     w = n - l + 1
-    m = ((one[n + 1] - one[l]) - one[w]) / w
-    v = ((two[n + 1] - two[l]) + two[w] - 2.0 * auto[l]) / w - m * m
+    m = (((one[n + 1] - one[l]) - one[w]) / w).astype(float)
+    v = (every[l] - cut[l - 1]) / w - m * m
+    for i in np.flatnonzero(2 * l > n):
+        v[i] = (prefix[l[i] :] - prefix[: w[i]]).var()
     return m + l * mean, np.maximum(v, 0.0)
 
 
