@@ -131,6 +131,20 @@ def test_substrings_of_many_entries(spark, tmp_path, entries, batch):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
+def test_substrings_of_a_common_line(spark, tmp_path):
+    # Its windows stay together: as single ones they would fill an executor's memory.
+    rng = np.random.default_rng(10)
+    words = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(3000)]
+    prose = lambda n: " ".join(rng.choice(words, n))
+    line = prose(9)
+    rows = [(i, f"{prose(20)} {line} {prose(20)}") for i in range(300)] + [(300 + i, f"{prose(20)} {line} {line}") for i in range(30)]
+    docs = files(spark, tmp_path, rows)
+    cols = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    assert Counter(tuple(r) for r in substrings.removed(docs, entries=20).select(*cols).collect()) == repeats(rows)
+    found = substrings.spans(docs, 100, 20, [])[1].selectExpr("sum(size(found))").first()[0]
+    assert found <= 8 * len(rows), found
+
+
 def test_substrings_dedup(spark, tmp_path):
     long = " ".join(f"é{i}" for i in range(60))
     rows = [(1, long, 5, "u", 7), (2, long + " end", 6, "v", 8), (3, None, 0, None, 9), (None, "x", 1, "w", 1)]
