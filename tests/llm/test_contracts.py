@@ -243,6 +243,31 @@ def test_embeddings_over_shards(spark, tmp_path):
     assert (n <= links).all() and recall >= 0.999
 
 
+def test_embeddings_of_a_whole_shard(monkeypatch):
+    # Rows that stand in the graph need no search by a beam again, and miss no link that one missed.
+    x = planted(np.random.default_rng(12), 12_000, 64, 300, 1500)
+    graph, calls, within = hnsw.Graph(x), [], hnsw.Graph.within
+    monkeypatch.setattr(hnsw.Graph, "within", lambda self, q, threshold, beam: calls.append(len(q)) or within(self, q, threshold, beam))
+    n, one, root = hnsw.search_shard(graph, np.ones(len(x), np.int64), x, np.arange(len(x)), 0.93, 0.999)
+    true = np.concatenate([(x[lo : lo + 1000] @ x.T >= 0.93).sum(axis=1) - 1 for lo in range(0, len(x), 1000)])
+    some = true > 0
+    assert (n <= true).all() and (n[some] / true[some]).mean() >= 0.999
+    assert sum(calls) < len(x) / 10, sum(calls)
+    # Both ends of a pair come to one root.
+    assert all(root[i] == root[k] for i, k in enumerate(one) if k >= 0)
+
+
+def test_embeddings_over_small_shards(spark, tmp_path):
+    x = planted(np.random.default_rng(4), 9_000, 24, 900, 700)
+    spark.createDataFrame([(i, 1, v.tolist()) for i, v in enumerate(x)], "vec_id long, label int, embedding array<double>").write.parquet(str(tmp_path / "in"))
+    links = np.concatenate([(x[lo : lo + 1000] @ x.T >= 0.93).sum(axis=1) - 1 for lo in range(0, len(x), 1000)])
+    got = {r.vec_id: r.n_links for r in hnsw.near_duplicates(spark.read.parquet(str(tmp_path / "in")), shard_rows=3000).collect()}
+    n = np.array([got[i] for i in range(len(x))])
+    some = links > 0
+    print(f"recall {(n[some] / links[some]).mean():.6f} of {some.sum()} rows, links {n.sum()} of {links.sum()}")
+    assert (n <= links).all() and (n[some] / links[some]).mean() >= 0.999
+
+
 def test_near_duplicates(spark, tmp_path):
     base = [f"w{i}" for i in range(120)]
     near = [*base[:119], "other"]
