@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from spanstat.operators import overlap
+from spanstat.operators import embed, overlap
 
 ROWS = "sid int, chrom string, start long, stop long"
 
@@ -44,3 +44,22 @@ def stacked(spark, n, sid=0):
 def test_counts_without_pairs(spark):
     n = 200_000
     assert [tuple(r) for r in overlap.overlap_counts(stacked(spark, n), stacked(spark, n, 3)).select("q_sid", "d_sid", "overlap_count").collect()] == [(0, 3, n * n)]
+
+
+def test_tiles(spark):
+    df, rows = made(spark, 200, 3)
+    want = {(s, c, t) for s, c, a, b in rows for t in range(a // 100, (b - 1) // 100 + 1)}
+    t = embed.tiles(df)
+    assert Counter(map(tuple, t.collect())) == Counter(want)
+    n = Counter(s for s, *_ in want)
+    sets = {s: {x[1:] for x in want if x[0] == s} for s in n if s is not None}
+    got = {(r.a_sid, r.b_sid): r.cosine for r in embed.cosine_gram(t).collect()}
+    assert got == {(a, b): pytest.approx(len(sets[a] & sets[b]) / (n[a] * n[b]) ** 0.5) for a in sets for b in sets if a <= b and sets[a] & sets[b]}
+    some = t.where("sid > 0")
+    got = {(r.a_sid, r.b_sid): r.both for r in embed.shared_tiles(t, some).collect()}
+    assert got == {(a, b): len(sets[a] & (sets[b] if b else sets[1] | sets[2] | sets[7])) for a in sets for b in (1, 2, 7, None)}
+
+
+def test_tiles_of_stacked_rows(spark):
+    # Spelled out, these would be 2,000 tiles in each of 200,000 rows.
+    assert embed.tiles(stacked(spark, 200_000)).count() == 4000
