@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from spanstat.operators import embed, overlap
+from spanstat.operators import embed, overlap, regions
 
 ROWS = "sid int, chrom string, start long, stop long"
 
@@ -63,3 +63,30 @@ def test_tiles(spark):
 def test_tiles_of_stacked_rows(spark):
     # Spelled out, these would be 2,000 tiles in each of 200,000 rows.
     assert embed.tiles(stacked(spark, 200_000)).count() == 4000
+
+
+def test_coverage(spark):
+    genome = {"a": 1_900_050, "b": 1_000_000}
+    (q, a), (d, b) = made(spark, 120, 4, least=0, sids=(0, 1)), made(spark, 90, 5, least=0, sids=(3, 4, 5))
+    cover = []
+    for df, rows in ((q, a), (d, b)):
+        cells = Counter()
+        for s, c, x, y in rows:
+            top = -(-genome[c] // 100) * 100
+            for t in range(x // 100, -(-min(y, top) // 100)):
+                cells[s, c, t] += max(min(y, t * 100 + 100, top) - max(x, t * 100), 0)
+        cover.append(cells)
+        steps = Counter()
+        for (s, c, t), n in cells.items():
+            steps[s, c, t] += n
+            if t + 1 < -(-genome[c] // 100):
+                steps[s, c, t + 1] -= n
+        good = df.where("start < stop and chrom is not null")
+        assert Counter({(r.sid, r.chrom, r.bin): r.d for r in regions.spikes(good, genome).collect()}) == Counter({k: v for k, v in steps.items() if v})
+    want = Counter()
+    for (s, c, t), n in cover[0].items():
+        for u in (3, 4, 5):
+            if cover[1][u, c, t] and n:
+                want[s, u] += n * cover[1][u, c, t]
+    good = [x.where("start < stop and chrom is not null") for x in (q, d)]
+    assert {(r.q_sid, r.d_sid): r.dot for r in regions.coverage_dot(*good, genome).collect()} == {k: v / 10000 for k, v in want.items()}
