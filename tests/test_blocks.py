@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from spanstat.operators import embed, overlap, regions
+from spanstat.operators import embed, overlap, permute, regions
 
 ROWS = "sid int, chrom string, start long, stop long"
 
@@ -90,3 +90,14 @@ def test_coverage(spark):
                 want[s, u] += n * cover[1][u, c, t]
     good = [x.where("start < stop and chrom is not null") for x in (q, d)]
     assert {(r.q_sid, r.d_sid): r.dot for r in regions.coverage_dot(*good, genome).collect()} == {k: v / 10000 for k, v in want.items()}
+
+
+@pytest.mark.parametrize("mode", ["shuffle", "circular"])
+def test_trials(spark, mode):
+    genome = {"a": 1_900_050, "b": 1_000_000}
+    q, d = made(spark, 60, 6, least=0, sids=(0, 1))[0], made(spark, 40, 7, sids=(3, 4))[0]
+    m = permute.moved(q, 7, mode, genome)
+    sets = m.select((F.col("sid") * 10 + F.col("trial")).alias("sid"), "chrom", "start", "stop")
+    want = {(r.q_sid // 10, r.q_sid % 10, r.d_sid): r.overlap_count for r in overlap.overlap_counts(sets, d).collect()}
+    got = permute._trial_counts(q, d, 7, mode, genome, 42, None).collect()
+    assert {(r.q_sid, r.trial, r.d_sid): r.n for r in got} == want
