@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanstat.operators import embed, overlap, permute, regions
+from spanstat.plans.queries import QUERIES
 
 ROWS = "sid int, chrom string, start long, stop long"
 
@@ -101,3 +102,8 @@ def test_trials(spark, mode):
     want = {(r.q_sid // 10, r.q_sid % 10, r.d_sid): r.overlap_count for r in overlap.overlap_counts(sets, d).collect()}
     got = permute._trial_counts(q, d, 7, mode, genome, 42, None).collect()
     assert {(r.q_sid, r.trial, r.d_sid): r.n for r in got} == want
+
+
+def test_all_milestones(spark):
+    got = QUERIES["mc_shuffle"](spark, "/root/testdata/sf0.001").collect()
+    assert {r.milestone for r in got} == {100, 500, 1000, 5000, 10000}
