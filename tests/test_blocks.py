@@ -107,3 +107,13 @@ def test_trials(spark, mode):
 def test_all_milestones(spark):
     got = QUERIES["mc_shuffle"](spark, "/root/testdata/sf0.001").collect()
     assert {r.milestone for r in got} == {100, 500, 1000, 5000, 10000}
+
+
+def test_rows_without_overlap(spark):
+    (q, _), (d, rows) = made(spark, 300, 8, least=0), made(spark, 20, 9, least=0)
+    hit = lambda c, x, y: None not in (c, x, y) and x < y and any(c == e and u < y and v > x for _, e, u, v in rows)
+    want = Counter(tuple(r) for r in q.collect() if not hit(*r[1:]))
+    assert Counter(map(tuple, overlap.anti_overlap(q, d).collect())) == want
+    n = 200_000
+    far = stacked(spark, 5).selectExpr("sid", "chrom", "start + 900000 as start", "stop + 900000 as stop")
+    assert overlap.anti_overlap(stacked(spark, n).unionByName(far), stacked(spark, n)).count() == 5
